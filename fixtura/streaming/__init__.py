@@ -1,0 +1,5 @@
+"""No streaming operator is defined: every source of this engine is loaded in batch.
+
+The per-(team, day) partials of ``fixtura.operators.form`` are plain sums, so a
+micro-batch job could add to them, but nothing here does so yet.
+"""
