@@ -66,7 +66,7 @@ def raw_contests(spark: SparkSession, sf_dir: str) -> DataFrame:
             "home_team",
             "away_team",
             (F.col("l_quantity").cast("int") % 5).alias("home_score"),
-            ((F.round(F.col("l_discount") * 100).cast("int") + F.col("l_linenumber")) % 4).alias("away_score"),
+            ((F.floor(F.col("l_discount") * 100 + 0.5).cast("int") + F.col("l_linenumber")) % 4).alias("away_score"),
             F.col("o_orderpriority").alias("tournament"),
             (F.col("l_returnflag") == "N").alias("neutral"),
             ((F.col("l_linestatus") == "O") & (F.col("l_linenumber") == 7)).alias("unplayed"),
