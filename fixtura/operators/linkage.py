@@ -52,6 +52,11 @@ def _token_string(name: str) -> Column:
     return F.concat_ws(" ", token_set(name_key(F.col(name))))
 
 
+def _birthday(unknown: str) -> Column:
+    """Date as text; the marker keeps unknown dates joinable yet unequal across sources."""
+    return F.coalesce(F.col("dob").cast("string"), F.lit(unknown))
+
+
 def _tokens() -> Column:
     return F.split(F.col("name"), " ")
 
@@ -168,17 +173,19 @@ def best_candidates(targets: DataFrame, candidates: DataFrame, blocks: list[str]
     ``targets`` is (target_id, *blocks, player_name, dob); ``candidates`` is
     (candidate_no, *blocks, short_name, long_name, dob), numbered in source order.
     """
-    asked = targets.select("target_id", *blocks, "dob", _token_string("player_name").alias("name"))
+    asked = targets.select(
+        "target_id", *blocks, _birthday("no target date").alias("dob"), _token_string("player_name").alias("name")
+    )
     named = candidates.select(
         *blocks,
-        "dob",
+        _birthday("no candidate date").alias("dob"),
         F.col("candidate_no").alias("first"),
         F.explode(F.array(_token_string("short_name"), _token_string("long_name"))).alias("name"),
     )
     names = named.filter(F.col("name") != "").groupBy(*blocks, "dob", "name").agg(F.min("first").alias("first"))
     asks = asked.filter(F.col("name") != "").select(*blocks, "dob", "name").distinct()
     born = [*blocks, "dob"]
-    dated = candidates.select(*born).distinct()
+    dated = named.select(*born).distinct()
     with_dob = asks.join(dated, born, "left_semi")
     without = asks.join(dated, born, "left_anti")
 
