@@ -129,3 +129,21 @@ def latest_before(
         .select(*keys, at, F.coalesce("_so_far", "_carry").getField("v").alias(value))
     )
     return targets.join(found, [*keys, at], "left")
+
+
+def value_pair(
+    points: DataFrame, targets: DataFrame, entity: str, days_back: int, order: Sequence[str]
+) -> DataFrame:
+    """Latest value at ``as_of`` and ``days_back`` days before it, per target row; NULL if none.
+
+    ``points`` is (entity, value_date, value, order); a month counts 30 days.
+    """
+    moments = F.array(
+        F.struct(F.lit("recent").alias("moment"), F.col("as_of").alias("value_date")),
+        F.struct(F.lit("past").alias("moment"), F.date_sub("as_of", days_back).alias("value_date")),
+    )
+    asked = targets.select(entity, "as_of", F.inline(moments))
+    found = latest_before(asked, points, [entity], "value_date", order, "value")
+    return found.groupBy(entity, "as_of").agg(
+        *[F.max(F.when(F.col("moment") == m, F.col("value"))).alias(f"value_{m}") for m in ("recent", "past")]
+    )
