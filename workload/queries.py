@@ -569,8 +569,8 @@ FLAT = (
     "star_normalise",
     sql(
         "SELECT dense_rank() OVER (ORDER BY edition, team) AS squad_id, year - 1994 AS tournament_id, player_id AS row_key,"
-        " player_name, is_captain, CAST(born AS VARCHAR) AS date_of_birth, CAST(CASE WHEN born IS NOT NULL THEN age END AS BIGINT) AS age_at_tournament,"
-        " CASE WHEN player_id % 3 <> 0 THEN player_id % 100 END AS caps, position, CAST(p_size AS BIGINT) AS squad_number"
+        " player_name, is_captain, CAST(born AS VARCHAR) AS date_of_birth, CAST(CASE WHEN born IS NOT NULL THEN age END AS DOUBLE) AS age_at_tournament,"
+        " CAST(CASE WHEN player_id % 3 <> 0 THEN player_id % 100 END AS DOUBLE) AS caps, position, CAST(p_size AS BIGINT) AS squad_number"
         f" FROM ({FLAT}) QUALIFY player_name IS NOT NULL", "rosters",
     ),
 )
@@ -580,7 +580,7 @@ def _(s, d):
     return tidy(
         built.players.join(built.squads, "squad_id").select(
             "squad_id", "tournament_id", F.col("club").cast("bigint").alias("row_key"), "player_name", "is_captain",
-            "date_of_birth", "age_at_tournament", "caps", "position", "squad_number",
+            "date_of_birth", F.col("age_at_tournament").cast("double"), F.col("caps").cast("double"), "position", "squad_number",
         )
     )
 
@@ -635,7 +635,8 @@ DOUBLES = [
     "home_club_hhi", "away_club_hhi", "home_same_club_pair_ratio", "away_same_club_pair_ratio", "rating_gap",
     "home_pool_rating", "away_pool_rating", "book_ph", "book_pd", "book_pa",
 ]
-WHOLES = ["home_score", "away_score", "neutral", "home_squad_size", "away_squad_size", "home_largest_club_bloc", "away_largest_club_bloc"]
+WHOLES = ["home_score", "away_score", "neutral"]
+SIZES = ["home_squad_size", "away_squad_size", "home_largest_club_bloc", "away_largest_club_bloc"]
 
 
 @query(
@@ -643,11 +644,12 @@ WHOLES = ["home_score", "away_score", "neutral", "home_squad_size", "away_squad_
     sql(
         "SELECT CAST(match_date AS VARCHAR) AS match_date, home_team, away_team, tournament, edition, result, "
         + ", ".join(f"{r(c)} AS {c}" for c in DOUBLES) + ", " + ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in WHOLES)
+        + ", " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in SIZES)
         + f" FROM ({MATRIX})", *MATRIX_VIEWS, **SHORT,
     ),
 )
 def _(s, d):
-    return tidy(A.matrix(s, d))
+    return tidy(A.matrix(s, d).withColumns({c: F.col(c).cast("double") for c in SIZES}))
 
 
 @query(
@@ -749,7 +751,7 @@ def _(s, d):
 
 BINS = (
     "SELECT bin, count(*) AS n, avg(ph) AS predicted, avg(CASE WHEN result = 'H' THEN 1.0 ELSE 0.0 END) AS actual FROM"
-    " (SELECT ph, result, len(list_filter(edges, e -> ph > e)) AS bin FROM predictions,"
+    " (SELECT ph, result, len(list_filter(edges, lambda e: ph > e)) AS bin FROM predictions,"
     " (SELECT quantile_cont(ph, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]) AS edges FROM predictions)) GROUP BY bin"
 )
 
@@ -813,7 +815,7 @@ def _(s, d):
 BOOT = 200
 HASH = "(row_key * 48271 + b * 69621 + 12345) % 2147483647"
 DRAWS = (
-    f"SELECT b, diff, len(list_filter({bootstrap.poisson_limits()}, t -> u >= t)) AS c FROM (SELECT b, diff, (z * z + y) % 2147483647 AS u FROM"
+    f"SELECT b, diff, len(list_filter({bootstrap.poisson_limits()}, lambda t: u >= t)) AS c FROM (SELECT b, diff, (z * z + y) % 2147483647 AS u FROM"
     " (SELECT b, diff, y, (y * 48271 + b * 40692) % 2147483647 AS z FROM"
     f" (SELECT b, diff, (x * x + row_key) % 2147483647 AS y FROM (SELECT b, diff, row_key, {HASH} AS x FROM fixture_loss, range(0, {BOOT}) t(b)))))"
 )
@@ -1011,8 +1013,8 @@ def _(s, d):
         f"SELECT CAST(trial_id AS BIGINT) AS trial_id, {r('log_loss')} AS log_loss,"
         f" {r('min(log_loss) OVER (ORDER BY trial_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)')} AS best_before,"
         " coalesce(log_loss < min(log_loss) OVER (ORDER BY trial_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS is_best_so_far"
-        f" FROM (SELECT t AS trial_id, avg({LOSS}) AS log_loss FROM (SELECT result, t, (ph + t * 0.1) / (1 + t * 0.3) AS x,"
-        " (pd + t * 0.1) / (1 + t * 0.3) AS y, (pa + t * 0.1) / (1 + t * 0.3) AS z FROM predictions, range(0, 8) v(t)) GROUP BY t)",
+        f" FROM (SELECT t AS trial_id, avg({LOSS}) AS log_loss FROM (SELECT result, k AS t, (ph + k * 0.1) / (1 + k * 0.3) AS x,"
+        " (pd + k * 0.1) / (1 + k * 0.3) AS y, (pa + k * 0.1) / (1 + k * 0.3) AS z FROM predictions, range(0, 8) v(k)) GROUP BY t)",
         "predictions",
     ),
 )
