@@ -18,7 +18,7 @@ from fixtura.operators.metrics import log_loss
 from fixtura.operators.ordered import number_rows
 from fixtura.operators.squads import first_seen, team_pool
 from fixtura.plans.matrix import build_matrix
-from fixtura.runtime import materialise, sized_broadcast
+from fixtura.runtime import sized_broadcast, stored_once
 
 TIERS = Tiers(
     labels=(
@@ -178,10 +178,10 @@ PRICE_CYCLE = {
 }
 
 
-def price_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def price_texts(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     """One quote per distinct fixture: date shifted, sides swapped on even days, prices as text."""
     day = F.col("day")
-    fixtures = contests(spark, sf_dir).select("day", "home_team", "away_team").distinct()
+    fixtures = (contests(spark, sf_dir) if rows is None else rows).select("day", "home_team", "away_team").distinct()
     swapped = day % 2 == 0
 
     def raw(name: Column) -> Column:
@@ -379,10 +379,10 @@ def edition_contests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature matrix over all contests, with the contest table stored once."""
-    stored = materialise(edition_contests(spark, sf_dir))
-    roster = materialise(rosters(spark, sf_dir))
+    stored = stored_once(edition_contests(spark, sf_dir))
+    roster = stored_once(rosters(spark, sf_dir))
     pool = team_pool(first_seen(roster, F.col("seen")), ratings(spark, sf_dir))
-    book = align_quotes(quotes(spark, sf_dir), stored, TEAM_ALIASES).resolved.drop("quote_no")
+    book = align_quotes(quotes(spark, sf_dir, stored), stored, TEAM_ALIASES).resolved.drop("quote_no")
     return build_matrix(
         stored, importance(), roster, pool, version_of(F.col("match_date")), book,
         half_life=180.0, window_years=3, pair_half_life=180.0,

@@ -55,3 +55,8 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and cut its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored_once(df: DataFrame) -> DataFrame:
+    """A checkpointed copy split evenly, for a table that one job reads several times."""
+    return materialise(df.hint("rebalance"))

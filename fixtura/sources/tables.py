@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,14 +57,20 @@ def replace_table(df: DataFrame, path: str) -> None:
 
 
 def replace_with_backup(df: DataFrame, path: str, backup: str) -> bool:
-    """Copy what is stored at ``path`` to CSV before overwriting it; True if there was something."""
-    spark = df.sparkSession
-    location = spark._jvm.org.apache.hadoop.fs.Path(path)
-    stored = location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location)
-    if stored:
-        spark.read.parquet(path).write.mode("overwrite").option("header", True).csv(backup)
+    """Copy what is stored at ``path`` to CSV before overwriting it; True if there was something.
+
+    ``df`` must not read from ``path``: Spark cannot overwrite what it is reading.
+    """
+    try:
+        stored = df.sparkSession.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        replace_table(df, path)
+        return False
+    stored.write.mode("overwrite").option("header", True).csv(backup)
     replace_table(df, path)
-    return stored
+    return True
 
 
 def write_queue(df: DataFrame, path: str) -> None:

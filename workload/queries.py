@@ -12,7 +12,7 @@ from fixtura import adapters as A
 from fixtura.functions import labels, names, prices, weights
 from fixtura.operators import bootstrap, clean, form, goals, guards, linkage, market, metrics, ordered, squads, star
 from fixtura.plans import backtest, matrix, models, reads, tuning
-from fixtura.runtime import materialise
+from fixtura.runtime import materialise, stored_once
 from fixtura.sources import pages, quotes as quote_files
 from workload.registry import CHECKS, QUERIES, query, tidy
 from workload.views import IMPORTANCE, VIEWS, sql
@@ -380,7 +380,8 @@ def _(s, d):
     ),
 )
 def _(s, d):
-    return tidy(market.align_quotes(A.quotes(s, d), A.contests(s, d), A.TEAM_ALIASES).resolved)
+    rows = stored_once(A.contests(s, d))
+    return tidy(market.align_quotes(A.quotes(s, d, rows), rows, A.TEAM_ALIASES).resolved)
 
 
 @query(
@@ -393,8 +394,9 @@ def _(s, d):
     ),
 )
 def _(s, d):
-    quotes = A.quotes(s, d)
-    found = market.align_quotes(quotes, A.contests(s, d), A.TEAM_ALIASES)
+    rows = stored_once(A.contests(s, d))
+    quotes = A.quotes(s, d, rows)
+    found = market.align_quotes(quotes, rows, A.TEAM_ALIASES)
     raw = quotes.select("quote_no", "home_raw", "away_raw")
     lost = found.unknown_fixtures.drop("match_date").join(raw, "quote_no").withColumn("reason", F.lit("fixture"))
     return tidy(found.unknown_teams.withColumn("reason", F.lit("team")).unionByName(lost))
@@ -950,7 +952,7 @@ def _(s, d):
 
 
 def _stored_matrix(s, d):
-    return materialise(A.matrix(s, d))
+    return stored_once(A.matrix(s, d))
 
 
 def _summary(scored: DataFrame, by: list[str]) -> DataFrame:
@@ -1136,16 +1138,19 @@ def _(s, d):
 @query(
     "guard_pool_dates",
     sql(
-        "SELECT p.team, CAST(p.match_date AS VARCHAR) AS match_date, count(*) AS n_late FROM probe_days p JOIN"
-        " (SELECT team, version, first_seen, count(*) AS k FROM pool GROUP BY ALL) o ON o.team = p.team AND o.version = p.version"
-        " AND o.first_seen > p.match_date GROUP BY ALL", "probe_days", "pool",
+        "SELECT p.team, CAST(p.match_date AS VARCHAR) AS match_date, t.n - p.n_rated AS n_late FROM pool_rating p"
+        " JOIN probe_days d ON d.team = p.team AND d.match_date = p.match_date"
+        " JOIN (SELECT team, version, count(*) AS n FROM pool GROUP BY ALL) t ON t.team = d.team AND t.version = d.version",
+        "pool_rating",
     ),
 )
 def _(s, d):
-    days = _team_days(s, d).withColumn("version", A.version_of(F.col("match_date")))
-    pool = _pool(s, d).select("team", "version", "first_seen").distinct()
-    late = guards.unknown_at_match(days.join(pool, ["team", "version"]))
-    return tidy(late.groupBy("team", "match_date").agg(F.count(F.lit(1)).alias("n_late")))
+    pool = stored_once(_pool(s, d))
+    version = A.version_of(F.col("match_date"))
+    known = squads.pool_rating(pool, _team_days(s, d), version).withColumn("version", version)
+    sizes = pool.groupBy("team", "version").agg(F.count(F.lit(1)).alias("n"))
+    late = known.join(sizes, ["team", "version"]).withColumn("n_late", F.col("n") - F.col("n_rated"))
+    return tidy(late.select("team", "match_date", "n_late"))
 
 
 @query(
