@@ -204,9 +204,9 @@ def price_texts(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None)
     )
 
 
-def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-
-    return price_texts(spark, sf_dir).select(
+def quotes(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """The quotes with decimal prices."""
+    return price_texts(spark, sf_dir, rows).select(
         "quote_no", "match_date", "home_raw", "away_raw",
         *[decimal_price(F.col(f"text_{s}")).alias(f"odds_{s}") for s in PRICE_CYCLE],
     )

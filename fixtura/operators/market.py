@@ -14,6 +14,8 @@ from fixtura.operators.ordered import keep_first
 from fixtura.runtime import sized_broadcast
 
 DATE_TOLERANCE = 3
+DAY_SHIFT = 1_000_000  # keeps ranks of days before 1970 positive
+RANK_SPAN = 1 << 58  # contest ranks stay below this, so days apart always decide first
 
 # Source spellings checked by hand against the contest table.
 TEAM_ALIASES = {
@@ -69,13 +71,14 @@ def align_quotes(
 
     ``quotes`` is (quote_no, match_date, home_raw, away_raw, odds_home, odds_draw,
     odds_away). A quote meets the nearest fixture of the same two teams within
-    ``tolerance`` days; equally near fixtures rank by ``contest_order`` (default:
-    date, then home name). Each fixture keeps its first quote. Unusable prices drop
+    ``tolerance`` days; equally near fixtures rank by ``contest_order``, a non-negative
+    row number (default: date, then home name). Each fixture keeps its first quote. Unusable prices drop
     out before names are resolved.
 
     The search runs on distinct (pair, day) keys: fixtures keep one row per key,
     quotes ask once per key, and each ask is a plain equi-join over the few days in
-    reach. A pair with very many rows therefore never multiplies against itself.
+    reach. A pair with very many rows therefore never multiplies against itself. Day,
+    side and rank travel as whole numbers, which keeps both aggregations hashed.
     """
     ph, pd_, pa = fair_probabilities(F.col("odds_home"), F.col("odds_draw"), F.col("odds_away"))
     priced = quotes.select("*", ph.alias("ph"), pd_.alias("pd"), pa.alias("pa")).filter(F.col("ph").isNotNull())
@@ -84,27 +87,34 @@ def align_quotes(
     pair = [F.least("home", "away").alias("lo"), F.greatest("home", "away").alias("hi")]
     asked = named.filter(known).select("*", *pair, F.unix_date("match_date").alias("day"))
 
-    rank = F.struct(contest_order) if contest_order else F.struct("day", "home_team")
+    lo, home_is_lo = F.least("home_team", "away_team"), F.col("home_team") < F.col("away_team")
+    rank = F.col(contest_order) if contest_order else (F.col("day") + DAY_SHIFT) * 2 + (~home_is_lo).cast("int")
     fixtures = (
         contests.select(
-            F.least("home_team", "away_team").alias("lo"),
-            F.greatest("home_team", "away_team").alias("hi"),
-            "day",
-            rank.alias("rank"),
-            F.struct(F.col("match_date"), F.col("home_team"), F.col("away_team")).alias("fixture"),
+            lo.alias("lo"), F.greatest("home_team", "away_team").alias("hi"), "day",
+            rank.cast("bigint").alias("rank"), (F.col("day") * 2 + home_is_lo.cast("int")).alias("place"),
         )
         .groupBy("lo", "hi", "day")
-        .agg(F.min(F.struct("rank", "fixture")).alias("best"))
+        .agg(F.min("rank").alias("rank"), F.min_by("place", "rank").alias("place"))
     )
     in_reach = F.explode(F.sequence(F.col("day") - tolerance, F.col("day") + tolerance))
+    closeness = F.abs(F.col("day") - F.col("asked_day")) * F.lit(RANK_SPAN) + F.col("rank")
+    place = F.col("place")
     nearest = (
         asked.select("lo", "hi", "day")
         .distinct()
         .select("lo", "hi", F.col("day").alias("asked_day"), in_reach.alias("day"))
         .join(fixtures, ["lo", "hi", "day"])
         .groupBy("lo", "hi", F.col("asked_day").alias("day"))
-        .agg(F.min_by("best", F.struct(F.abs(F.col("day") - F.col("asked_day")), "best")).alias("best"))
-        .select("lo", "hi", "day", "best.fixture.*")
+        .agg(F.min_by("place", closeness).alias("place"))
+        .select(
+            "lo",
+            "hi",
+            "day",
+            F.date_from_unix_date(F.floor(place / 2).cast("int")).alias("match_date"),
+            F.when(F.pmod(place, F.lit(2)) == 1, F.col("lo")).otherwise(F.col("hi")).alias("home_team"),
+            F.when(F.pmod(place, F.lit(2)) == 1, F.col("hi")).otherwise(F.col("lo")).alias("away_team"),
+        )
     )
     placed = asked.drop("match_date").join(nearest, ["lo", "hi", "day"])
     same_side = F.col("home_team") == F.col("home")
