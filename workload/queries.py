@@ -5,7 +5,6 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fixtura import adapters as A
@@ -15,7 +14,7 @@ from fixtura.plans import backtest, matrix, models, reads, tuning
 from fixtura.runtime import materialise, stored_once
 from fixtura.sources import pages, quotes as quote_files
 from workload.registry import CHECKS, QUERIES, query, tidy
-from workload.views import IMPORTANCE, VIEWS, sql
+from workload.views import IMPORTANCE, sql
 
 __all__ = ["CHECKS", "QUERIES"]
 
