@@ -29,8 +29,8 @@ LEAKS = (
     " win AS (SELECT DISTINCT item_id, w[i:least(i + 9, len(w))] AS run FROM item, unnest(range(1, greatest(1, len(w) - 9) + 1)) x(i) WHERE len(w) > 0),"
     f" doc AS (SELECT doc_id, {_WORDS} AS w FROM documents),"
     " lens AS (SELECT DISTINCT len(run) AS n FROM win),"
-    " at AS (SELECT doc_id, i, n, w[i:i + n - 1] AS run FROM doc, lens, unnest(range(1, len(w) - n + 2)) x(i)),"
-    " hit AS (SELECT doc_id, i, n, item_id FROM at JOIN win USING (run)),"
+    " spot AS (SELECT doc_id, i, n, w[i:i + n - 1] AS run FROM doc, lens, unnest(range(1, len(w) - n + 2)) x(i)),"
+    " hit AS (SELECT doc_id, i, n, item_id FROM spot JOIN win USING (run)),"
     " words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hit, unnest(range(i, i + n)) y(p) GROUP BY doc_id),"
     " items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS names FROM hit GROUP BY doc_id)"
     " SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,"
