@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fixtura.llm import leaks, mixing, sharding, toxicity
+from fixtura.llm import jaccard, leaks, mixing, sharding, toxicity
 from fixtura.llm.queries import MIX_EXPONENT, MIX_SEED, SHARDS, judged, pages
 from fixtura.llm.store import stored
 
@@ -20,6 +20,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.where(toxicity.toxicity(F.col("text"), model, spark) < TOXIC)
 
 
+def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-copies, the one with the smallest doc_id."""
+    return jaccard.keep_one_of_copies(docs, "doc_id", "text")
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark window. Rows without a doc_id are judged like any other."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("wiki_page"), F.col("text").alias("page_text"))
@@ -39,6 +44,7 @@ def place_on_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", drop_toxic),
+    ("ngram_jaccard", keep_one_of_copies),
     ("decontamination", drop_contaminated),
     ("mixing", mix_sources),
     ("sharding", place_on_shards),

@@ -145,7 +145,8 @@ def find_leaks(pages: DataFrame, held_out: DataFrame, size: int = WINDOW_WORDS)
     named = found.select("t1", "t2", "wid").distinct().join(sized_broadcast(items), "wid").groupBy("t1", "t2").agg(
         F.array_sort(F.collect_set(F.col("wiki_page").cast("string"))).alias("leaked")
     )
-    hits = hit_words(found).join(named, ["t1", "t2"], "left")
+    # Stored, so that the rows of a text with many copies meet it in a join whose partitions can be split.
+    hits = stored(hit_words(found).join(named, ["t1", "t2"], "left"))
     rows = pages.select("tournament_id", *_ident(F.col("page_text")), F.size(words(F.col("page_text"))).alias("n_words"))
     return rows.join(hits, ["t1", "t2"], "left").select(
         "tournament_id", F.col("n_words").cast("bigint").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fixtura.llm import checks, languages, leaks, mixing, quality, sharding, toxicity
+from fixtura.llm import checks, jaccard, languages, leaks, lines, mixing, neighbours, pseudonyms, quality, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -97,3 +97,35 @@ def _(s, d):
         F.col("player_id").alias("doc_id"), (remainder("player_id", 4) == 2).alias("held_out"),
         F.col("nationality_pred").alias("lang_pred"), "score",
     )
+
+
+@query("op2_ngram_jaccard")
+def _(s, d):
+    found = jaccard.page_copies(pages(table(s, d, "documents")))
+    return found.select(F.col("tournament_id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "n_links")
+
+
+@query("op7_nearest_neighbours")
+def _(s, d):
+    players = table(s, d, "embeddings").select(F.col("vec_id").alias("player_id"), F.col("embedding").alias("attributes"))
+    near = neighbours.nearest_players(players, players.where("player_id % 100 = 0"))
+    return near.select("query_id", "rank", F.col("player_id").alias("vec_id"), "score")
+
+
+PSEUDONYM_KEY = "production-key-1"
+
+
+@query("op9_pseudonyms")
+def _(s, d):
+    done = pseudonyms.pseudonymise_pages(pages(table(s, d, "documents")), PSEUDONYM_KEY)
+    return done.select(F.col("tournament_id").alias("doc_id"), F.col("page_text").alias("text"), "n_replaced")
+
+
+@query("op5_line_dedup")
+def _(s, d):
+    rows = table(s, d, "documents").select(F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n")).alias("position", "line"))
+    marks = lines.mark_repeats(rows)
+    return marks.select(
+        F.col("file").alias("doc_id"), F.col("position").cast("bigint").alias("position"), F.col("first_file").alias("first_doc_id"),
+        F.col("first_position").cast("bigint").alias("first_position"), "keep",
+    )
