@@ -34,7 +34,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated to tempered weights of their sources, in a global hash order."""
     targets = mixing.tempered_targets(docs.select("source"), MIX_EXPONENT)
-    return mixing.replicate(docs, "doc_id", "source", targets, MIX_SEED, copy="_copy").drop("_copy")
+    return mixing.replicate(docs, "doc_id", "source", targets, MIX_SEED, copy=None)
 
 
 def place_on_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -208,15 +208,16 @@ def keep_one_of_copies(records: DataFrame, key: str, text: str, size: int = WORD
     Groups are those of ``page_copies``. Of rows that agree in key and text one stays; rows that repeat a key with another
     text are judged by their own text. Rows with a NULL key stay. Only keys and hashes of rows that go are joined.
     """
-    k, t1, t2 = F.col(f"`{key}`"), *_ident(F.col(f"`{text}`"))
-    marked = stored(_copies(records.select(k.alias("tournament_id"), F.col(f"`{text}`").alias("page_text")), size, percent))
+    read = records.select(F.col(f"`{key}`").alias("tournament_id"), F.col(f"`{text}`").alias("page_text"))
+    marked = stored(_copies(read, size, percent))
     gone = marked.where("tournament_id > component").select("tournament_id", "t1", "t2").distinct()
     twice = marked.where("tournament_id = component").groupBy("tournament_id", "t1", "t2").count().where("count > 1").drop("count")
-    names = {"tournament_id": "_key", "t1": "_t1", "t2": "_t2"}
-    on = (k == F.col("_key")) & (t1 == F.col("_t1")) & (t2 == F.col("_t2"))
-    gone, twice = stored(gone.withColumnsRenamed(names)), stored(twice.withColumnsRenamed(names))
-    single = records.join(sized_broadcast(gone.union(twice), READ_AGAIN), on, "left_anti")
-    return single.unionByName(records.join(sized_broadcast(twice, READ_AGAIN), on, "left_semi").dropDuplicates([key, text]))
+    gone, twice = stored(gone.union(twice)), stored(twice)
+    t1, t2 = _ident(F.col(f"r.`{text}`"))
+    on = (F.col(f"r.`{key}`") == F.col("g.tournament_id")) & (t1 == F.col("g.t1")) & (t2 == F.col("g.t2"))
+    rows = records.alias("r")
+    single = rows.join(sized_broadcast(gone, READ_AGAIN).alias("g"), on, "left_anti")
+    return single.unionByName(rows.join(sized_broadcast(twice, READ_AGAIN).alias("g"), on, "left_semi").dropDuplicates([key, text]))
 
 
 def page_copies(pages: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -159,6 +159,6 @@ def without_leaks(pages: DataFrame, text: str, held_out: DataFrame, size: int =
     windows, _ = held_out_windows(held_out, size)
     read = pages.select(F.col(f"`{text}`").alias("page_text"))
     found = matches(postings(read, stored(probes(read, windows))), windows)
-    hit = stored(found.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2")).distinct())
-    t1, t2 = _ident(F.col(f"`{text}`"))
-    return pages.join(sized_broadcast(hit, PROBE_ROWS), (t1 == F.col("_t1")) & (t2 == F.col("_t2")), "left_anti")
+    hit = stored(found.select("t1", "t2").distinct())
+    t1, t2 = _ident(F.col(f"p.`{text}`"))
+    return pages.alias("p").join(sized_broadcast(hit, PROBE_ROWS).alias("h"), (t1 == F.col("h.t1")) & (t2 == F.col("h.t2")), "left_anti")

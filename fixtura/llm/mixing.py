@@ -65,28 +65,26 @@ def repetitions(key: Column, rate: Column, table: Column, rest: Column, seed: in
 
 
 def replicate(records: DataFrame, key: str, source: str, targets: DataFrame, seed: int, rows: int | None = None,
-              copy: str = "copy") -> DataFrame:
+              copy: str | None = "copy") -> DataFrame:
     """Every record of ``records`` repeated by its Poisson count, in a global order drawn by hash.
 
     Rates come from ``rates``; they are one row per source and join without moving a record. The draw depends on the
-    seed, the key and nothing else, so a retried task repeats it. ``copy`` numbers repetitions from 1. Rows come out
-    range-partitioned and sorted by a hash of (key, copy): a shuffle on a uniform key, whatever source is hot.
-    Repeated rows draw alike; a NULL key counts as empty text; a column named like ``copy`` is replaced.
+    seed, the key and nothing else, so a retried task repeats it. ``copy`` numbers repetitions from 1; it replaces a column
+    of that name, and None leaves it out. Rows come out range-partitioned and sorted by a hash of (key, copy): a shuffle on
+    a uniform key, whatever source is hot. Repeated rows draw alike; a NULL key counts as empty text.
     """
-    per_source = rates(records.select(F.col(f"`{source}`").alias("source")), targets, rows)
-    per_source = per_source.select(
-        F.col("source").alias("_mix_source"), F.col("rate").alias("_mix_rate"),
-        cumulative(F.lit(PART)).alias("_mix_table"), cumulative(F.col("rate") - F.floor(F.col("rate") / PART) * PART).alias("_mix_rest"),
-    ).where("_mix_rate > 0")
-    kept = records.drop(*([copy] if copy not in (key, source) else []))
-    columns = [f"`{c}`" for c in kept.columns]
-    k = F.col(f"`{key}`")
-    drawn = kept.join(per_source, F.col(f"`{source}`").eqNullSafe(F.col("_mix_source"))).withColumn(
-        "_mix_n", repetitions(k, F.col("_mix_rate"), F.col("_mix_table"), F.col("_mix_rest"), seed)
-    ).where("_mix_n > 0")
-    copies = drawn.select(*columns, F.explode(F.sequence(F.lit(1), F.col("_mix_n"))).alias(copy))
-    order = F.xxhash64(F.lit(seed), k.cast("string"), F.col(f"`{copy}`"))
-    return copies.withColumn("_mix_order", order).orderBy("_mix_order").drop("_mix_order")
+    means = rates(records.select(F.col(f"`{source}`").alias("source")), targets, rows).where("rate > 0").select(
+        "source", "rate", cumulative(F.lit(PART)).alias("table"), cumulative(F.col("rate") - F.floor(F.col("rate") / PART) * PART).alias("rest")
+    )
+    # The record travels as one column, so no name of its own can clash.
+    record = records.select(F.col(f"`{key}`").alias("k"), F.col(f"`{source}`").alias("s"), F.struct(*[F.col(f"`{c}`") for c in records.columns]).alias("record"))
+    drawn = record.join(means, F.col("s").eqNullSafe(F.col("source"))).withColumn(
+        "n", repetitions(F.col("k"), F.col("rate"), F.col("table"), F.col("rest"), seed)
+    ).where("n > 0")
+    copies = drawn.select("k", "record", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
+    mixed = copies.withColumn("order", F.xxhash64(F.lit(seed), F.col("k").cast("string"), "i")).orderBy("order")
+    own = [F.col(f"record.`{c}`") for c in records.columns if c != copy]
+    return mixed.select(*own, *([F.col("i").alias(copy)] if copy else []))
 
 
 def mix_quotes(quotes: DataFrame, targets: DataFrame, seed: int = 7, rows: int | None = None) -> DataFrame:
