@@ -77,14 +77,15 @@ def _described(size: int, percent: int, whole: bool):
     @F.pandas_udf("n long, s1 long, s2 long, tested int, grams array<long>")
     def describe(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for series in batches:
-            rows = []
+            # One small frame per run of texts: sets of a whole batch are never held together.
             for run in pieces(list(series)):
+                rows = []
                 for g in gram_sets(run, size):
                     n = len(g)
                     head = g if whole else g[: _head(g, _part(n))]
                     # A partner has at most n * 100 / percent grams; its head reaches at least this far.
                     rows.append((n, *_signature(g), _head(g, _part(n * 100 / percent)), head.view(np.int64)))
-            yield pd.DataFrame(rows, columns=["n", "s1", "s2", "tested", "grams"])
+                yield pd.DataFrame(rows, columns=["n", "s1", "s2", "tested", "grams"])
 
     return describe
 

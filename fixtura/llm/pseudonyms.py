@@ -20,7 +20,7 @@ _ADDRESS = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
 _PHONE = r"\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4}"
 _DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}"
 # A candidate neither continues nor begins a longer run of digits, nor a dotted or hyphened one.
-CANDIDATE = rf"(?<![0-9]|[0-9][./-])(?:{_DATE}|{_PHONE}|{_ADDRESS}|{_CARD})(?![0-9]|[./-][0-9])"
+CANDIDATE = rf"(?<![0-9])(?<![0-9][./-])(?:{_DATE}|{_PHONE}|{_ADDRESS}|{_CARD})(?![0-9]|[./-][0-9])"
 
 
 def _digest(key: str, kind: str, turn: Column, other: Column) -> Column:
