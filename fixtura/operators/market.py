@@ -16,6 +16,7 @@ from fixtura.runtime import sized_broadcast
 DATE_TOLERANCE = 3
 DAY_SHIFT = 1_000_000  # keeps ranks of days before 1970 positive
 RANK_SPAN = 1 << 58  # contest ranks stay below this, so days apart always decide first
+MAX_TOLERANCE = 31  # more days than this times RANK_SPAN do not fit into 64 bits
 
 # Source spellings checked by hand against the contest table.
 TEAM_ALIASES = {
@@ -80,6 +81,8 @@ def align_quotes(
     reach. A pair with very many rows therefore never multiplies against itself. Day,
     side and rank travel as whole numbers, which keeps both aggregations hashed.
     """
+    if not 0 <= tolerance <= MAX_TOLERANCE:
+        raise ValueError(f"tolerance must be between 0 and {MAX_TOLERANCE} days")
     ph, pd_, pa = fair_probabilities(F.col("odds_home"), F.col("odds_draw"), F.col("odds_away"))
     priced = quotes.select("*", ph.alias("ph"), pd_.alias("pd"), pa.alias("pa")).filter(F.col("ph").isNotNull())
     named = canonical_teams(priced, team_names(contests), {"home_raw": "home", "away_raw": "away"}, aliases)

@@ -10,6 +10,7 @@ from fixtura.operators.form import pair_record, side_rows, team_form
 from fixtura.operators.squads import age_depth, club_concentration, pool_rating
 from fixtura.runtime import sized_broadcast
 
+# Feature and metadata names and their order, shared with every reader of a stored matrix.
 BASE_FEATURES = [
     "neutral", "importance", "home_form", "away_form",
     "home_gs", "home_gc", "away_gs", "away_gc", "h2h",
@@ -23,6 +24,7 @@ SQUAD_FEATURES = [
 ]
 RATING_FEATURES = ["rating_gap"]
 FEATURES = BASE_FEATURES + SQUAD_FEATURES + RATING_FEATURES
+# Fixed values, as above.
 METADATA = [
     "match_date", "home_team", "away_team", "tournament", "edition",
     "home_pool_rating", "away_pool_rating", "home_score", "away_score",

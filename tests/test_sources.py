@@ -78,7 +78,7 @@ def test_no_files_is_empty_and_short_header_is_an_error(spark, tmp_path):
 
 def test_malformed_paste_is_an_error(spark, tmp_path):
     (tmp_path / "x_odds.csv").write_text(PASTE.replace("Finished\n", ""), encoding="utf-8")
-    with pytest.raises(ValueError, match="do not add up"):
+    with pytest.raises(ValueError, match="shape of the paste breaks"):
         quotes.load_quotes(spark, f"{tmp_path}/*odds*.csv")
 
 
