@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fixtura.functions.labels import form_favourite
@@ -121,6 +122,20 @@ def annual_walk_forward(matrix: DataFrame, model: Model, **options) -> DataFrame
     return walk_forward(matrix, model, annual_folds(matrix), False, metrics.covered(matrix), **options)
 
 
+def fold_scores(scored: DataFrame, by: Sequence[str] = ("fold",)) -> DataFrame:
+    """Scores per group over the rows that have a forecast, and how many have none (``n_unscored``); no group is lost."""
+    have = F.col("ph").isNotNull() & F.col("pd").isNotNull() & F.col("pa").isNotNull()
+    counts = scored.groupBy(*by).agg(F.count_if(have).alias("n"), F.count_if(~have).alias("n_unscored"))
+    return counts.join(metrics.pooled(scored.filter(have), list(by)).drop("n"), list(by), "left")
+
+
+def numbered_repeats(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Add ``row_no``, equal only for one row: a hash of ``columns`` and the row's number among equal ones."""
+    hashed = rows.withColumn("_same", F.xxhash64(*columns))
+    place = F.row_number().over(W.partitionBy("_same").orderBy(*columns))
+    return hashed.withColumn("row_no", F.xxhash64("_same", place)).drop("_same")
+
+
 def compare(scored: Mapping[str, DataFrame], key: Sequence[str]) -> DataFrame:
     """(key, model, result, ph, pd, pa, loss) over several scored sets of the same contests."""
     label, triple = F.col("result"), [F.col(p) for p in ("ph", "pd", "pa")]

@@ -910,6 +910,28 @@ def _(s, d):
     return tidy(_fit(s, d).totals)
 
 
+FIT_ROWS = (
+    "SELECT 'attack' AS term, home_team AS team, w * home_score AS v FROM weighed UNION ALL SELECT 'attack', away_team, w * away_score FROM weighed"
+    " UNION ALL SELECT 'defence', away_team, w * home_score FROM weighed UNION ALL SELECT 'defence', home_team, w * away_score FROM weighed"
+    " UNION ALL SELECT 'base', '', w * (home_score + away_score) FROM weighed"
+    " UNION ALL SELECT 'home', '', CASE WHEN neutral THEN 0 ELSE w * home_score END FROM weighed"
+)
+
+
+@query(
+    "poisson_score_equations",
+    sql(
+        "SELECT 'all' AS fold, term, team, round(sum(v), 2) + 0.0 AS value FROM (" + FIT_ROWS.replace(
+            "weighed", "(SELECT *, greatest(pow(0.5, (DATE '2001-08-02' - match_date) / 3650.0), 0.05) * imp AS w FROM contests)"
+        ) + ") GROUP BY term, team", "contests",
+    ),
+)
+def _(s, d):
+    rows = A.contests(s, d).withColumns({"fold": F.lit("all"), "importance": A.importance()})
+    cells = materialise(goals.likelihood_cells(rows, weights.training_weight(F.col("match_date"), F.col("importance"), F.lit(AS_OF))))
+    return tidy(goals.score_equations(cells, goals.fit_strengths(cells, tolerance=1e-9)), 2)
+
+
 @query("strength_ranking")
 def _(s, d):
     fit = _fit(s, d)
@@ -955,7 +977,18 @@ def _stored_matrix(s, d):
 
 
 def _summary(scored: DataFrame, by: list[str]) -> DataFrame:
-    return metrics.pooled(scored, by).orderBy(*by)
+    return backtest.fold_scores(scored, by).orderBy(*by)
+
+
+QUOTED = (
+    "quoted AS (SELECT c.*, CASE WHEN home_score > away_score THEN 'H' WHEN home_score = away_score THEN 'D' ELSE 'A' END AS result, year(match_date) AS y,"
+    " book_ph, book_pd, book_pa FROM contests c LEFT JOIN book USING (match_date, home_team, away_team)),"
+    " folds AS (SELECT DISTINCT y FROM quoted WHERE book_ph IS NOT NULL),"
+    " known AS (SELECT f.y, count(*) FILTER (q.match_date < make_date(f.y, 1, 1) - 365) AS n_train, "
+    + ", ".join(f"avg(CASE WHEN result = '{c}' THEN 1.0 WHEN result IS NOT NULL THEN 0.0 END) AS b{i}" for i, c in enumerate("HDA"))
+    + " FROM folds f LEFT JOIN quoted q ON q.y < f.y GROUP BY f.y),"
+    " asked AS (SELECT CAST(q.y AS VARCHAR) AS fold, q.*, n_train, b0, b1, b2 FROM quoted q JOIN known k ON k.y = q.y WHERE book_ph IS NOT NULL)"
+)
 
 
 @query("walk_forward_scores")
@@ -975,10 +1008,31 @@ def _(s, d):
     return tidy(_summary(rows, ["fold", "model"]))
 
 
+@query(
+    "annual_references",
+    sql(
+        f"SELECT fold, 'market' AS model, count(*) AS n, 0 AS n_unscored, {SCORES} FROM (SELECT *, book_ph AS x, book_pd AS y_, book_pa AS z FROM asked) GROUP BY fold"
+        .replace("y_", "y").replace("*, book_ph", "fold, result, book_ph")
+        + " UNION ALL SELECT fold, 'base rate', n, n_unscored, accuracy, log_loss, brier FROM"
+        " (SELECT fold, count(b0) AS n, count(*) - count(b0) AS n_unscored FROM asked GROUP BY fold) LEFT JOIN"
+        f" (SELECT fold, {SCORES} FROM (SELECT fold, result, b0 AS x, b1 AS y, b2 AS z FROM asked WHERE b0 IS NOT NULL) GROUP BY fold) USING (fold)"
+        " UNION ALL SELECT fold, 'goals', count(*) FILTER (n_train > 0), count(*) FILTER (n_train = 0), NULL, NULL, NULL FROM asked GROUP BY fold",
+        "contests", "book",
+    ).replace(") SELECT fold, 'market'", f"), {QUOTED} SELECT fold, 'market'", 1),
+)
+def _(s, d):
+    scored = materialise(backtest.annual_walk_forward(_stored_matrix(s, d), models.GoalModel()))
+    parts = [backtest.reference_forecasts(scored, p).withColumn("model", F.lit(m)) for p, m in (("book", "market"), ("base", "base rate"))]
+    keep = ["fold", "model", "result", "ph", "pd", "pa"]
+    table = _summary(parts[0].select(*keep).unionByName(parts[1].select(*keep)), ["fold", "model"])
+    goals_ = backtest.fold_scores(scored).select("fold", F.lit("goals").alias("model"), "n", "n_unscored")
+    return tidy(table.unionByName(goals_, allowMissingColumns=True))
+
+
 @query("rating_ablation")
 def _(s, d):
-    table = _stored_matrix(s, d).withColumn("row_no", F.xxhash64(*KEY, "tournament", "home_score", "away_score", "neutral"))
-    table = materialise(ordered.keep_first(table, ["row_no"], [*KEY]))
+    table = backtest.numbered_repeats(_stored_matrix(s, d), [*KEY, "tournament", "home_score", "away_score", "neutral"])
+    table = materialise(table)
     plain = materialise(backtest.annual_walk_forward(table, models.GoalModel()))
     rated = materialise(backtest.annual_walk_forward(table, models.GoalModel(use_rating=True)))
     both = backtest.compare({"plain": plain, "rated": rated}, ["row_no"])
@@ -990,17 +1044,16 @@ def _(s, d):
 @query("classifier_scores")
 def _(s, d):
     table = _stored_matrix(s, d)
-    folds = backtest.rolling_folds(1997, 2001, 2)
-    scored = backtest.walk_forward(table, models.SoftmaxModel(max_iter=15), folds, by_edition=False)
+    folds = backtest.rolling_folds(1996, 2002, 2)
+    scored = backtest.walk_forward(table, models.SoftmaxModel(), folds, by_edition=False)
     return tidy(_summary(scored, ["fold"]))
 
 
 @query("boosted_scores")
 def _(s, d):
     table = _stored_matrix(s, d)
-    folds = [backtest.Fold("2000", dt.date(2000, 1, 1), dt.date(2002, 1, 1))]
-    model = models.BoostedModel(settings={"max_trees": 5, "max_depth": 3})
-    return tidy(_summary(backtest.walk_forward(table, model, folds, by_edition=False), ["fold"]))
+    folds = backtest.rolling_folds(1998, 2002, 2)
+    return tidy(_summary(backtest.walk_forward(table, models.BoostedModel(), folds, by_edition=False), ["fold"]))
 
 
 @query("trial_search")
