@@ -16,7 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-MIN_HALF_LIFE = 30.0
+# Powers of two of all days fit into a double for half-lives from this on; below, the timeline is cut and each cut has its
+# own day 0. Half-lives that a cut holds at least:
+PLAIN_HALF_LIFE = 30.0
+CUT_HALF_LIVES = 400
 
 
 def side_rows(contests: DataFrame, *keep: str) -> DataFrame:
@@ -89,41 +92,56 @@ def decayed_totals(
     inclusive. Probes default to the days of ``partials``, taken from the same
     scan. A probe without history gets NULL measures and ``n`` = 0.
     """
-    if half_life < MIN_HALF_LIFE:
-        raise ValueError(f"half_life below {MIN_HALF_LIFE} days would overflow the running sums")
     bind = math.floor(half_life * math.log2(1.0 / floor)) if floor > 0 else None
     if window is not None and (bind is None or window <= bind):
         bind = None
     day = F.col("day")
-    growth = F.pow(F.lit(2.0), day / F.lit(half_life))
+    reach = bind if bind is not None else window
+    span = None if half_life >= PLAIN_HALF_LIFE else max(math.ceil(CUT_HALF_LIVES * half_life), (reach or 0) + 1)
 
-    def moment(after: int, live: int, flat: int, asks: bool = False) -> Column:
+    def cut_of(at: Column) -> Column:
+        return F.floor(at / span).cast("int") if span else F.lit(0)
+
+    def growth(days: Column, cut: Column) -> Column:
+        return F.pow(F.lit(2.0), (days - cut * (span or 0)) / F.lit(half_life))
+
+    def moment(after: int, live: int, flat: int, asks: bool = False, carried: bool = False) -> Column:
+        """What changes ``after`` days on. ``carried`` puts a live sum, without its count, at the start of the cut it ends in."""
+        at = day + after
+        cut = cut_of(at)
         return F.struct(
             F.lit(asks).alias("is_probe"),
-            (day + after).alias("day"),
-            (F.col("n") * live).alias("live_n"),
+            (cut * (span or 0) if carried else at).cast("int").alias("day"),
+            cut.alias("cut"),
+            (F.col("n") * (0 if carried else live)).alias("live_n"),
             (F.col("n") * flat).alias("flat_n"),
-            *[(F.col(m) * growth * live).alias(f"live_{m}") for m in measures],
+            *[(F.col(m) * growth(day, cut) * live).alias(f"live_{m}") for m in measures],
             *[(F.col(m) * float(flat)).alias(f"flat_{m}") for m in measures],
         )
 
     moments = [moment(1, 1, 0)]
+    if span:
+        # What is still live when its cut ends goes on in the next one; without an end it counts for one more cut.
+        last = (reach or span - 1) + 1
+        moments.append(F.when(cut_of(day + 1) < cut_of(day + last), moment(last, 1, 0, carried=True)))
     if bind is not None:
         moments.append(moment(bind + 1, -1, 1))
     if window is not None:
         moments.append(moment(window + 1, 0, -1) if bind is not None else moment(window + 1, -1, 0))
     if probes is None:
         moments.append(moment(0, 0, 0, asks=True))
-    rows = partials.select(*keys, F.explode(F.array(*moments)).alias("_m")).select(*keys, "_m.*")
+    rows = partials.select(*keys, F.explode(F.array(*moments)).alias("_m")).where("_m IS NOT NULL").select(*keys, "_m.*")
     sums = [c for c in rows.columns if c.startswith(("live_", "flat_"))]
     if probes is not None:
-        asked = probes.select(*keys, "day", F.lit(True).alias("is_probe"))
+        asked = probes.select(*keys, "day", cut_of(day).alias("cut"), F.lit(True).alias("is_probe"))
         rows = rows.unionByName(asked, allowMissingColumns=True)
     so_far = W.partitionBy(*keys).orderBy("day").rangeBetween(W.unboundedPreceding, W.currentRow)
+    in_cut = W.partitionBy(*keys, "cut").orderBy("day").rangeBetween(W.unboundedPreceding, W.currentRow) if span else so_far
+    decaying = {f"live_{m}" for m in measures}
     running = rows.select(
-        *keys, "day", "is_probe", *[F.sum(c).over(so_far).alias(c) for c in sums]
+        *keys, "day", "cut", "is_probe", *[F.sum(c).over(in_cut if c in decaying else so_far).alias(c) for c in sums]
     )
-    shrink = F.pow(F.lit(2.0), -day / F.lit(half_life))
+    shrink = 1.0 / growth(day, F.col("cut"))
 
     def total(m: str) -> Column:
         live = F.when(F.col("live_n") > 0, shrink * F.col(f"live_{m}")).otherwise(0.0)

@@ -87,7 +87,7 @@ def test_read_queries_reject_bad_arguments(spark):
     assert [r["team"] for r in reads.list_teams(df).collect()] == sorted(r["team"] for r in reads.list_teams(df).collect())
 
 
-def test_short_half_life_is_refused(spark):
-    _, df = history(spark, 5)
-    with pytest.raises(ValueError):
-        form.team_form(df, F.col("imp"), 5.0)
+@pytest.mark.parametrize("half_life, floor, years", [(5.0, 0.05, 3), (2.0, 0.001, 1), (7.0, 0.0, 2), (0.5, 0.05, 1)])
+def test_short_half_lives_match_brute_force(spark, monkeypatch, half_life, floor, years):
+    monkeypatch.setattr(form, "CUT_HALF_LIVES", 20)
+    test_team_form_matches_brute_force(spark, half_life, floor, years)

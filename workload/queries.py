@@ -813,12 +813,13 @@ def _(s, d):
     )
 
 
-BOOT = 200
-HASH = "(row_key * 48271 + b * 69621 + 12345) % 2147483647"
+BOOT = 10_000
+COUNT = " + ".join(f"CAST(u >= {t} AS INTEGER)" for t in bootstrap.poisson_limits())
 DRAWS = (
-    f"SELECT b, diff, len(list_filter({bootstrap.poisson_limits()}, lambda t: u >= t)) AS c FROM (SELECT b, diff, (z * z + y) % 2147483647 AS u FROM"
-    " (SELECT b, diff, y, (y * 48271 + b * 40692) % 2147483647 AS z FROM"
-    f" (SELECT b, diff, (x * x + row_key) % 2147483647 AS y FROM (SELECT b, diff, row_key, {HASH} AS x FROM fixture_loss, range(0, {BOOT}) t(b)))))"
+    f"SELECT b, diff, {COUNT} AS c FROM (SELECT b, diff, (z * z + y) % 2147483647 AS u FROM"
+    " (SELECT b, diff, y, (y * 48271 + b * 40692 + high) % 2147483647 AS z FROM"
+    " (SELECT b, diff, high, (x * x + low + high) % 2147483647 AS y FROM (SELECT b, diff, low, high, (low * 48271 + b * 69621 + 12345) % 2147483647 AS x"
+    f" FROM (SELECT diff, row_key % 2147483647 AS low, row_key // 2147483647 % 2147483647 AS high FROM fixture_loss), range(0, {BOOT}) t(b)))))"
 )
 
 
