@@ -179,8 +179,8 @@ def _(s, d):
     ),
 )
 def _(s, d):
-    starts = A.edition_contests(s, d).filter("edition is not null").groupBy("edition").agg(F.min("match_date").alias("start"))
-    return tidy(starts.filter(F.year("start") >= 1998).orderBy("start"))
+    folds = backtest.edition_folds(A.edition_contests(s, d), 1998)
+    return tidy(s.createDataFrame([(f.name, f.start) for f in folds], "edition string, start date"))
 
 
 # ------------------------------------------------------------------- cleaning
@@ -435,13 +435,14 @@ def _(s, d):
 @query(
     "quote_dedupe",
     sql(
-        "SELECT CAST(match_date AS VARCHAR) AS match_date, home_raw, away_raw, min(quote_no) AS quote_no FROM quotes"
+        "SELECT CAST(match_date AS VARCHAR) AS match_date, home_raw, away_raw, min(quote_no) AS quote_no, round(arg_min(odds_home, quote_no), 6) + 0.0 AS odds_home FROM quotes"
         " GROUP BY match_date, home_raw, away_raw", "quotes",
     ),
 )
 def _(s, d):
-    rows = A.quotes(s, d).select("match_date", "home_raw", "away_raw", "quote_no")
-    return tidy(ordered.keep_first(rows.unionByName(rows), ["match_date", "home_raw", "away_raw"], ["quote_no"]))
+    rows = A.quotes(s, d).select("match_date", "home_raw", "away_raw", "quote_no", "odds_home")
+    later = rows.withColumns({"quote_no": F.col("quote_no") + 10**9, "odds_home": F.lit(9.99)})
+    return tidy(ordered.keep_first(later.unionByName(rows), ["match_date", "home_raw", "away_raw"], ["quote_no"]))
 
 
 @query(
@@ -1177,33 +1178,46 @@ def _(s, d):
 
 @query(
     "guard_unplayed",
+    sql("SELECT count(*) AS n_source, count(*) FILTER (NOT unplayed) AS n_stored FROM raw_contests HAVING bool_or(unplayed)", "raw_contests"),
+)
+def _(s, d):
+    raw = A.unclean_contests(s, d)
+    return tidy(guards.row_count_gap(raw, raw.filter("home_score IS NOT NULL")))
+
+
+@query(
+    "guard_past_wall",
     sql(
-        "SELECT 'source' AS side, count(*) AS n FROM raw_contests UNION ALL SELECT 'kept', count(*) FROM raw_contests WHERE NOT unplayed",
-        "raw_contests",
+        "SELECT home_team, count(*) AS n, CAST(min(match_date) AS VARCHAR) AS first FROM contests WHERE match_date >= DATE '2000-01-01' GROUP BY home_team",
+        "contests",
     ),
 )
 def _(s, d):
-    raw = A.unclean_contests(s, d)
-    counts = raw.agg(F.count(F.lit(1)).alias("source"), F.count("home_score").alias("kept"))
-    return tidy(counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("n")) for c in ("source", "kept")]))))
+    late = guards.scored_past_wall(A.contests(s, d), "2000-01-01")
+    return tidy(late.groupBy("home_team").agg(F.count(F.lit(1)).alias("n"), F.min("match_date").alias("first")))
+
+
+@query(
+    "guard_improper",
+    sql("SELECT CAST(day % 13 AS BIGINT) AS slot, count(*) AS n FROM predictions WHERE book_ph IS NULL OR abs(book_ph + book_pd + book_pa - 1) > 1e-9 GROUP BY 1", "predictions"),
+)
+def _(s, d):
+    book = A.predictions(s, d).drop("ph", "pd", "pa").withColumnsRenamed({f"book_{p}": p for p in ("ph", "pd", "pa")})
+    return tidy(guards.improper_probabilities(book).groupBy((F.col("day") % 13).cast("bigint").alias("slot")).agg(F.count(F.lit(1)).alias("n")))
 
 
 @query(
     "guard_pool_dates",
     sql(
-        "SELECT p.team, CAST(p.match_date AS VARCHAR) AS match_date, t.n - p.n_rated AS n_late FROM pool_rating p"
-        " JOIN probe_days d ON d.team = p.team AND d.match_date = p.match_date"
-        " JOIN (SELECT team, version, count(*) AS n FROM pool GROUP BY ALL) t ON t.team = d.team AND t.version = d.version",
-        "pool_rating",
+        "SELECT d.team, CAST(d.match_date AS VARCHAR) AS match_date, count(*) AS n_late FROM probe_days d"
+        " JOIN pool p ON p.team = d.team AND p.version = d.version AND p.first_seen > d.match_date GROUP BY 1, 2",
+        "probe_days", "pool",
     ),
 )
 def _(s, d):
-    pool = stored_once(_pool(s, d))
-    version = A.version_of(F.col("match_date"))
-    known = squads.pool_rating(pool, _team_days(s, d), version).withColumn("version", version)
-    sizes = pool.groupBy("team", "version").agg(F.count(F.lit(1)).alias("n"))
-    late = known.join(sizes, ["team", "version"]).withColumn("n_late", F.col("n") - F.col("n_rated"))
-    return tidy(late.select("team", "match_date", "n_late"))
+    days = _team_days(s, d).withColumn("version", A.version_of(F.col("match_date")))
+    late = guards.unknown_at_match(days.join(_pool(s, d), ["team", "version"]))
+    return tidy(late.groupBy("team", "match_date").agg(F.count(F.lit(1)).alias("n_late")))
 
 
 @query(
