@@ -166,6 +166,39 @@ def test_annual_scores_only_quoted_and_contrasts_pair_by_key(spark, small_matrix
     assert backtest.changed_rows(rows, rows, ["k"]).first()["n_changed"] == 0
 
 
+def test_best_prefix_waits():
+    losses = [5.0, 4.0, 4.5, 4.4, 3.9, 4.0, 4.0, 4.0]
+    assert models.best_prefix(losses, 3) == (5, True) and models.best_prefix(losses, 2) == (2, True)
+    assert models.best_prefix(losses, 4) == (5, False) and models.best_prefix([1.0], 5) == (1, False)
+
+
+def test_boosting_keeps_many_trees_and_beats_base_rates(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(900):
+        x, y = rng.normal(size=2)
+        p = np.exp([1.2 * x, 0.0, -1.2 * x + 0.5 * y])
+        part = ("train", "valid", "score")[i % 3]
+        rows.append(("f", part, 1.0, float(x), float(y), "HDA"[rng.choice(3, p=p / p.sum())]))
+    df = spark.createDataFrame(rows, "fold string, part string, weight double, x double, y double, result string")
+    model = models.BoostedModel(["x", "y"], {"max_trees": 60, "max_depth": 2, "patience": 10})
+    model.fit(df.filter("part <> 'score'"), ["f", "empty"])
+    assert set(model.trees()) == {("f", c) for c in "HDA"} and min(model.trees().values()) > 5
+    asked = df.filter("part = 'score'")
+    scored = model.score(asked.unionByName(asked.limit(4).withColumn("fold", F.lit("empty"))))
+    got = {r["fold"]: r for r in backtest.fold_scores(scored).collect()}
+    share = asked.groupBy("result").count().collect()
+    base = -sum(r["count"] / 300 * math.log(r["count"] / 300) for r in share)
+    assert got["f"]["n"] == 300 and got["f"]["n_unscored"] == 0 and got["f"]["log_loss"] < base - 0.05
+    assert (got["empty"]["n"], got["empty"]["n_unscored"], got["empty"]["log_loss"]) == (0, 4, None)
+
+
+def test_repeats_get_numbers_of_their_own(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (1, None), (1, None), (2, "a")], "k int, v string")
+    rows = backtest.numbered_repeats(df, ["k", "v"])
+    assert rows.count() == 5 and rows.select("row_no").distinct().count() == 5
+
+
 def test_rolling_folds_stop_at_the_wall():
     folds = backtest.rolling_folds()
     assert len(folds) == 6 and folds[0].start == dt.date(2004, 1, 1) and max(f.end for f in folds) == dt.date(2016, 1, 1)

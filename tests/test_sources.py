@@ -82,6 +82,23 @@ def test_malformed_paste_is_an_error(spark, tmp_path):
         quotes.load_quotes(spark, f"{tmp_path}/*odds*.csv")
 
 
+@pytest.mark.parametrize(
+    "change", [lambda t: t.replace("+179\n", "") + "surplus\n", lambda t: t.replace("14 Jul 2024\n1\n", "14 Jul 2024\n"), lambda t: t + "tail\n"]
+)
+def test_shifted_paste_is_an_error(spark, tmp_path, change):
+    (tmp_path / "x_odds.csv").write_text(change(PASTE), encoding="utf-8")
+    with pytest.raises(ValueError, match="shape of the paste breaks"):
+        quotes.load_quotes(spark, f"{tmp_path}/*odds*.csv")
+
+
+def test_short_rows_and_doubled_quotes(spark, tmp_path):
+    text = EXPORT + '8 Jul 2024,"The ""Reds""",Wales,2.0\n7 Jul 2024,Spain,Italy,2.0,3.0,4.0,Euro,surplus\n'
+    (tmp_path / "s_odds.csv").write_text(text, encoding="utf-8")
+    got = {r["home_raw"]: r for r in quotes.load_quotes(spark, f"{tmp_path}/*odds*.csv").filter("match_date < DATE '2024-07-09'").collect()}
+    assert got['The "Reds"']["odds_home"] == 2.0 and got['The "Reds"']["odds_draw"] is None and got['The "Reds"']["competition"] is None
+    assert got["Spain"]["competition"] == "Euro"
+
+
 def test_ordered_operators_cross_small_buckets(spark):
     values = [None, "a", None, None, "b", None, None, None, None, "c", None]
     df = spark.createDataFrame([("f", i // 3, i, v) for i, v in enumerate(values)], "file string, chunk long, pos long, v string")
