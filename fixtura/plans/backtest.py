@@ -14,7 +14,9 @@ from fixtura.functions.labels import form_favourite
 from fixtura.functions.weights import training_weight
 from fixtura.operators import metrics
 from fixtura.operators.bootstrap import mean_interval, paired_differences, row_hash
+from fixtura.operators.guards import misaligned
 from fixtura.plans.models import Model
+from fixtura.runtime import materialise
 
 BACKTEST_START_YEAR = 2016
 VALID_DAYS = 365
@@ -162,6 +164,26 @@ def contrasts(
     return mean_interval(diffs, "diff", row_hash(*key), n_boot, seed, by=["contrast"])
 
 
+def comparison(
+    scored: Mapping[str, DataFrame], key: Sequence[str], pairs: Sequence[tuple[str, str]], n_boot: int = 10_000, seed: int = 0
+) -> DataFrame:
+    """Scores of several forecasts of the same contests, and the interval of each paired log-loss difference.
+
+    ``line`` is ``model`` or ``contrast``, ``name`` the model or the pair. Contests that a model cannot score drop out of its
+    line and of its contrasts. Sets that do not hold the same (key, result) rows are an error.
+    """
+    names = list(scored)
+    for other in names[1:]:
+        if not misaligned(scored[names[0]], scored[other], key).isEmpty():
+            raise ValueError(f"{names[0]} and {other} do not score the same contests")
+    both = materialise(compare(scored, key))
+    table = fold_scores(both, ["model"]).select(F.lit("model").alias("line"), F.col("model").alias("name"), "n", "n_unscored", "accuracy", "log_loss", "brier")
+    gaps = contrasts(both.filter("loss IS NOT NULL AND ph IS NOT NULL"), key, pairs, n_boot, seed)
+    return table.unionByName(
+        gaps.select(F.lit("contrast").alias("line"), F.col("contrast").alias("name"), "n", "point", "lo", "hi", "verdict"), allowMissingColumns=True
+    )
+
+
 def ablation(
     matrix: DataFrame, model_for: Callable[[Sequence[str]], Model], feature_sets: Mapping[str, Sequence[str]]
 ) -> dict[str, DataFrame]:

@@ -1033,8 +1033,7 @@ def _(s, d):
 
 @query("rating_ablation")
 def _(s, d):
-    table = backtest.numbered_repeats(_stored_matrix(s, d), [*KEY, "tournament", "home_score", "away_score", "neutral"])
-    table = materialise(table)
+    table = _numbered_matrix(s, d)
     plain = materialise(backtest.annual_walk_forward(table, models.GoalModel()))
     rated = materialise(backtest.annual_walk_forward(table, models.GoalModel(use_rating=True)))
     both = backtest.compare({"plain": plain, "rated": rated}, ["row_no"])
@@ -1043,6 +1042,35 @@ def _(s, d):
     return tidy(interval.join(F.broadcast(changed)))
 
 
+def _numbered_matrix(s, d):
+    return materialise(backtest.numbered_repeats(_stored_matrix(s, d), [*KEY, "tournament", "home_score", "away_score", "neutral"]))
+
+
+@query("model_comparison")
+def _(s, d):
+    table = _numbered_matrix(s, d)
+    scored = {
+        "goals": materialise(backtest.annual_walk_forward(table, models.GoalModel())),
+        "classifier": materialise(backtest.annual_walk_forward(table, models.SoftmaxModel())),
+    }
+    scored |= {name: backtest.reference_forecasts(scored["goals"], prefix) for name, prefix in (("market", "book"), ("base rate", "base"))}
+    pairs = [("goals", "classifier"), ("goals", "market"), ("classifier", "market"), ("classifier", "base rate")]
+    views = {"all": F.lit(True), "finals": F.col("tournament") == "1-URGENT"}
+    parts = [
+        backtest.comparison({m: df.filter(rows) for m, df in scored.items()}, ["row_no"], pairs, BOOT).withColumn("block", F.lit(block))
+        for block, rows in views.items()
+    ]
+    return tidy(parts[0].unionByName(parts[1]))
+
+
+@query("feature_ablation")
+def _(s, d):
+    scored = backtest.ablation(_numbered_matrix(s, d), lambda columns: models.SoftmaxModel(list(columns)), matrix.FEATURE_SETS)
+    scored = {name: materialise(df) for name, df in scored.items()}
+    pairs = [("base+squad", "base"), ("base+rating", "base"), ("full", "base"), ("full", "base+squad")]
+    return tidy(backtest.comparison(scored, ["row_no"], pairs, BOOT))
+
+
 @query("classifier_scores")
 def _(s, d):
     table = _stored_matrix(s, d)
