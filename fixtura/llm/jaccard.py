@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fixtura.llm.components import components
-from fixtura.llm.store import stored
+from fixtura.llm.store import small_batches, stored
 from fixtura.llm.text import code_points, mix64, pieces, words
 from fixtura.runtime import sized_broadcast
 
@@ -237,6 +237,7 @@ def page_copies(pages: DataFrame, size: int = WORDS, percent: int = PERCENT) ->
 
 def _copies(pages: DataFrame, size: int, percent: int) -> DataFrame:
     """``page_copies`` with the hash of each row's text, ``t1`` and ``t2``."""
+    small_batches(pages.sparkSession)
     describe = _described(size, percent, whole=False)
     text = F.col("page_text")
     rows = stored(

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fixtura.llm.store import small_batches
 from fixtura.llm.text import letter_stream, pieces
 
 # Training letters per label, and cells of all transition tables together (four bytes each, per Python worker).
@@ -127,6 +128,7 @@ def training_samples(records: DataFrame, text: str, label: str, letters: int = L
     ``letters`` / 4 characters each: the bound holds for any size of ``records``. The tables of all labels share CELLS,
     so with many labels or letters each gets less text.
     """
+    small_batches(records.sparkSession)
     rows = records.select(F.col(text).alias("text"), F.col(label).alias("label")).where("label IS NOT NULL AND text IS NOT NULL")
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:

@@ -4,11 +4,22 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from fixtura.runtime import ensure_checkpoint_dir
 
 
+# Rows that go to a Python worker at once. Whole texts are long, and a worker keeps the memory of its largest batch.
+TEXT_BATCH = 500
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch to TEXT_BATCH rows if it is larger; called by operators that read texts in Python."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= TEXT_BATCH:
+        spark.conf.set(_BATCH, str(TEXT_BATCH))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet under the checkpoint folder and read back with its own schema."""
     spark = df.sparkSession
