@@ -11,12 +11,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fixtura.llm.store import small_batches
+from fixtura.llm.store import small_batches, stored
 from fixtura.llm.text import letter_stream, pieces
 
 # Training letters per label, and cells of all transition tables together (four bytes each, per Python worker).
 LETTERS = 32_768
 CELLS = 24_000_000
+# Distinct texts per label that are brought in to choose from.
+CANDIDATES = 400
 # Symbols in a lane: parsing starts anew after so many, so one long text is many lanes.
 LANE = 1_024
 UNKNOWN = "und"
@@ -92,7 +94,7 @@ def _tables(samples: Samples) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _codes(alphabet: str) -> np.ndarray:
     """Code point -> symbol; letters outside the alphabet share the last one."""
-    code = np.full(0x110000, len(alphabet), np.int16)
+    code = np.full(0x110000, len(alphabet), np.int32)
     code[[ord(c) for c in alphabet]] = np.arange(len(alphabet))
     return code
 
@@ -120,36 +122,72 @@ def phrase_counts(texts: list[str], samples: Samples) -> tuple[np.ndarray, np.nd
     return np.stack([np.bincount(text, row, len(texts)) for row in phrases]), sizes
 
 
+def _sampled(texts: list[str], room: int) -> str:
+    """Whole texts, in the given order, while they fit into ``room``; the beginning of the first one if none fits."""
+    own, left = [], room
+    for t in texts:
+        if len(t) <= left:
+            own.append(t)
+            left -= len(t)
+    if not any(map(str.isalpha, "".join(own))):
+        first = next((i for i, c in enumerate(texts[0]) if c.isalpha()), 0)
+        own = [texts[0][first : first + room]]
+    return " ".join(own)
+
+
+def _alphabet(texts: list[str]) -> str:
+    return " " + "".join(sorted(filter(str.isalpha, set("".join(texts).lower()))))
+
+
 def training_samples(records: DataFrame, text: str, label: str, letters: int = LETTERS) -> Samples:
     """Bounded training text per label: whole texts in the order of their hash while they fit into ``letters``.
 
-    A text longer than a quarter of ``letters`` is passed over. Rows with NULL text or label do not count. Labels are
-    counted first (no text is read for that), then about 400 candidates per label are brought in, at most
-    ``letters`` / 4 characters each: the bound holds for any size of ``records``. The tables of all labels share CELLS,
-    so with many labels or letters each gets less text.
+    Candidates are the CANDIDATES distinct texts of each label with the smallest hashes, copies counted once, so the bound
+    holds for any size of ``records`` and any number of copies. Texts longer than a quarter of ``letters`` are passed over
+    if the label has shorter ones; otherwise each candidate gives a piece of that length, from a place that its hash names.
+    Rows with NULL text or label, or a text without letters, do not count. The tables of all labels share CELLS, so with
+    many labels or letters each gets less text, down to the beginning of one text. Every label that counts is in the
+    result; if there is no room for that, it is an error.
     """
     small_batches(records.sparkSession)
-    rows = records.select(F.col(text).alias("text"), F.col(label).alias("label")).where("label IS NOT NULL AND text IS NOT NULL")
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    piece = max(2, letters // 4)
+    rows = records.select(F.col(text).alias("text"), F.col(label).alias("label")).where(
+        F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}")
+    ).select("text", "label", F.xxhash64("text").alias("h"), (F.length("text") > letters // 4).alias("long"))
+    names = stored(rows.select("label", "h", "long").distinct())
+    counts: dict = {}
+    for r in names.groupBy("label", "long").agg(F.count(F.lit(1)).alias("n")).collect():
+        counts.setdefault(r["label"], {})[r["long"]] = r["n"]
     if not counts:
         return Samples((), (), " ")
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 400 / n)))])
-    drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share[F.col("label")] * (1 << 20)
-    found = rows.where(drawn & (F.length("text") <= letters // 4)).select("label", "text", F.xxhash64(F.lit(1), "text").alias("h"))
-    found = found.dropDuplicates(["label", "h"]).orderBy("label", "h").collect()
-    labels = sorted({r["label"] for r in found})
-    alphabet = " " + "".join(sorted(set("".join(r["text"].lower() for r in found if r["text"])) & set(filter(str.isalpha, "".join(r["text"].lower() for r in found)))))
-    room = min(letters, CELLS // (2 * (len(alphabet) + 1) * max(1, len(labels))))
-    texts = []
-    for k in labels:
-        own, left = [], room
-        for r in found:
-            if r["label"] == k and len(r["text"]) <= left:
-                own.append(r["text"])
-                left -= len(r["text"])
-        texts.append(" ".join(own))
-    kept = [(k, t) for k, t in zip(labels, texts) if any(c.isalpha() for c in t)]
-    return Samples(tuple(k for k, _ in kept), tuple(t for _, t in kept), alphabet)
+    only_long = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(False not in n))])
+
+    def up_to(limits: dict) -> Column:
+        """Rows of the sizes that the label learns from, with a hash up to its limit."""
+        limit = F.create_map(*[x for k, v in limits.items() for x in (F.lit(k), F.lit(v).cast("bigint"))])
+        return (F.col("long") == only_long[F.col("label")]) & (F.col("h") <= limit[F.col("label")])
+
+    # Twice as many as needed are expected below the limit; the ranks among them are exact.
+    distinct = {k: n.get(False, n.get(True)) for k, n in counts.items()}
+    drawn: dict = {}
+    for r in names.where(up_to({k: min((1 << 63) - 1, (2 * CANDIDATES << 64) // n - (1 << 63)) for k, n in distinct.items()})).select("label", "h").collect():
+        drawn.setdefault(r["label"], []).append(r["h"])
+    chosen = rows.where(up_to({k: sorted(v)[:CANDIDATES][-1] for k, v in drawn.items()}))
+    plain = F.trim(F.regexp_replace("text", r"[^\p{L}]+", " "))
+    start = F.pmod(F.col("h"), F.greatest(F.lit(1), F.length("plain") - piece + 1)).cast("int") + 1
+    part = F.when(F.col("long"), F.substring("plain", start, F.lit(piece))).otherwise(F.col("text"))
+    found = chosen.withColumn("plain", F.when(F.col("long"), plain)).select("label", "h", part.alias("text"))
+    texts: dict = {}
+    for r in found.dropDuplicates(["label", "h"]).orderBy("label", "h").collect():
+        texts.setdefault(r["label"], []).append(r["text"])
+    labels = sorted(texts)
+    samples = [_sampled(texts[k], letters) for k in labels]
+    room = min(letters, CELLS // (2 * len(_alphabet(samples)) + 2) // len(labels))
+    if room < letters:
+        samples = [_sampled(texts[k], room) for k in labels]
+    if set(labels) != set(counts) or not all(any(map(str.isalpha, t)) for t in samples):
+        raise ValueError(f"no room to learn {len(counts)} labels: {room} letters for each")
+    return Samples(tuple(labels), tuple(samples), _alphabet(samples))
 
 
 def predicted_label(text: Column, samples: Samples, spark) -> Column:

@@ -165,3 +165,22 @@ def test_training_text_is_bounded(spark):
     samples = languages.training_samples(spark.createDataFrame(rows, "t string, l string"), "t", "l", 800)
     assert samples.labels == ("DE", "EN") and samples.texts[1] == "short name" and all(len(t) <= 800 for t in samples.texts)
     assert math.isclose(len(samples.texts[0]), 100, abs_tol=1)
+
+
+def test_every_label_with_letters_is_learnt(spark, monkeypatch):
+    copies = spark.range(100_000).select(F.concat(F.lit("one text of "), (F.col("id") % 5).cast("string")).alias("t"), F.concat(F.lit("copied"), (F.col("id") % 5).cast("string")).alias("l"))
+    rows = [("long words " * 500 + f"end {i}", "long") for i in range(3)] + [("1" * 999 + "x", "late"), ("123", "none"), (None, "null"), ("a", None)]
+    known = copies.union(spark.createDataFrame(rows, "t string, l string"))
+    samples = languages.training_samples(known, "t", "l", 800)
+    labels = (*[f"copied{i}" for i in range(5)], "late", "long")
+    assert samples.labels == labels and samples.texts[0] == "one text of 0" and samples.texts[5] == "x"
+    assert 400 <= len(samples.texts[6]) <= 802
+    many = spark.range(5_000).select(F.concat(F.lit("text "), F.col("id").cast("string")).alias("t"), F.lit("many").alias("l"))
+    hashes = sorted((r.h, r.t) for r in many.select("t", F.xxhash64("t").alias("h")).collect())[: languages.CANDIDATES]
+    assert languages.training_samples(many, "t", "l").texts == (" ".join(t for _, t in hashes),)
+    monkeypatch.setattr(languages, "CELLS", 2_000)
+    tight = languages.training_samples(known, "t", "l", 800)
+    assert tight.labels == labels and all(any(map(str.isalpha, t)) for t in tight.texts)
+    monkeypatch.setattr(languages, "CELLS", 100)
+    with pytest.raises(ValueError):
+        languages.training_samples(known, "t", "l", 800)
