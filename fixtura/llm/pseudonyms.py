@@ -11,16 +11,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 5
+# Turns after which a month-first date has met one after the 12th (it fails with a probability of 0.4 ** WALK).
+WALK = 100
 # Days of 1900-01-01..2099-12-31 number 17 * 4297.
 FIRST_DAY = (dt.date(1900, 1, 1) - dt.date(1970, 1, 1)).days
 DAYS = (17, 4297)
 
-_CARD = r"[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}"
+_CARD = r"[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}"
 _ADDRESS = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
-_PHONE = r"\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4}"
-_DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}"
-# A candidate neither continues nor begins a longer run of digits, nor a dotted or hyphened one.
-CANDIDATE = rf"(?<![0-9])(?<![0-9][./-])(?:{_DATE}|{_PHONE}|{_ADDRESS}|{_CARD})(?![0-9]|[./-][0-9])"
+_PHONE = r"\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}"
+_ISO = "[0-9]{4}-[0-9]{2}-[0-9]{2}"
+_SLASHED = "[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}"
+_DATE = f"{_ISO}|{_SLASHED}"
+# Intervals, ranges and masks are one candidate of several values.
+_DATES = f"{_ISO}(?:/{_ISO})*|{_SLASHED}(?:-{_SLASHED})*"
+_ADDRESSES = rf"{_ADDRESS}(?:[/-]{_ADDRESS})*"
+_SEVERAL = f"^{_ADDRESS}[/-]|^{_ISO}/|^{_SLASHED}-"
+# A candidate neither continues nor begins a longer run of digits, nor a dotted or hyphened one. An address may go on with a
+# slash and digits (prefix length, path), and a telephone number may stand behind a country code, which stays.
+_FREE, _END = "(?<![0-9])(?<![0-9][./-])", "(?![0-9]|[./-][0-9])"
+_CODES = [rf"\+[0-9]{{{n}}}" for n in (1, 2, 3)]
+_TRUNKS = [f"{_FREE}{t}" for t in ("1", "00[0-9]{1}", "00[0-9]{2}", "00[0-9]{3}")]
+_AFTER_CODE = "|".join(f"(?<={c}[.-])" for c in _CODES + _TRUNKS)
+_AT_CODE = "|".join(f"(?<={c})" for c in _CODES)
+CANDIDATE = (
+    rf"{_FREE}(?:(?:{_DATES}|{_PHONE}|{_CARD}){_END}|{_ADDRESSES}(?![0-9]|[.-][0-9]))"
+    rf"|(?:{_AFTER_CODE})(?:{_PHONE}){_END}|(?:{_AT_CODE})(?:[0-9]{{10}}|(?=\()(?:{_PHONE})){_END}"
+)
 
 
 def _digest(key: str, kind: str, turn: Column, other: Column) -> Column:
@@ -136,17 +153,39 @@ def moved_day(day: Column, key: str) -> Column:
     return F.when((n >= 0) & (n < DAYS[0] * DAYS[1]), other).otherwise(day)
 
 
+def _month_first(value: Column) -> Column:
+    """Month/day/year can only be meant where the second part is no month."""
+    return value.rlike("^[0-9]{1,2}/(?:1[3-9]|[2-9][0-9])/")
+
+
 def _day_of(value: Column) -> Column:
     iso = F.when(value.rlike(r"^[0-9]{4}-"), F.try_to_date(value, "yyyy-MM-dd"))
-    return F.coalesce(iso, F.when(value.rlike(r"^[0-9]{1,2}/"), F.try_to_date(value, "d/M/yyyy")))
+    slashed = F.when(_month_first(value), F.try_to_date(value, "M/d/yyyy")).otherwise(F.try_to_date(value, "d/M/yyyy"))
+    return F.coalesce(iso, F.when(value.rlike(r"^[0-9]{1,2}/"), slashed))
+
+
+def moved_late_day(day: Column, key: str) -> Column:
+    """Another date after the 12th for one after the 12th: the permutation is followed until it comes to one (a turn fails for
+    two days in five), so month-first pseudonyms stay recognisable and meet no day-first one."""
+    return F.aggregate(
+        F.sequence(F.lit(1), F.lit(WALK)), moved_day(day, key),
+        lambda at, _: F.when(F.dayofmonth(at) > 12, at).otherwise(moved_day(at, key)),
+    )
 
 
 def date_text(value: Column, key: str) -> Column:
-    """A date in the same form: ISO, or day/month/year with as many digits as each part of the value has at least."""
-    day = moved_day(_day_of(value), key)
-    short = F.date_format(day, "d/M/yyyy")
-    padded = F.date_format(day, "dd/MM/yyyy")
-    return F.when(value.rlike("^[0-9]{4}-"), F.date_format(day, "yyyy-MM-dd")).when(F.length(value) == 10, padded).otherwise(short)
+    """A date in the same form: ISO, or day/month/year (month/day/year if only that is a date) with as many digits as each part
+    of the value has at least."""
+    def slashed(day: Column, first: str, second: str) -> Column:
+        padded = F.date_format(day, f"{first * 2}/{second * 2}/yyyy")
+        return F.when(F.length(value) == 10, padded).otherwise(F.date_format(day, f"{first}/{second}/yyyy"))
+
+    given = _day_of(value)
+    day = moved_day(given, key)
+    return (
+        F.when(value.rlike("^[0-9]{4}-"), F.date_format(day, "yyyy-MM-dd"))
+        .when(_month_first(value), slashed(moved_late_day(given, key), "M", "d")).otherwise(slashed(day, "d", "M"))
+    )
 
 
 def is_date(value: Column) -> Column:
@@ -155,18 +194,39 @@ def is_date(value: Column) -> Column:
 
 
 def pseudonym(value: Column, key: str) -> Column:
-    """Pseudonym of a candidate; one that fails its validation stays as it is."""
+    """Pseudonym of one value; one that fails its validation stays as it is."""
     return (
-        F.when(is_date(value), date_text(value, key)).when(value.rlike(f"^(?:{_PHONE})$"), phone(value, key))
+        F.when(is_date(value), date_text(value, key)).when(value.rlike(f"^(?:{_PHONE}|[0-9]{{10}})$"), phone(value, key))
         .when(is_address(value), address(value, key)).when(is_card(value), card(value, key)).otherwise(value)
     )
 
 
+def _joined(gaps: Column, values: Column) -> Column:
+    """Gaps and the values between them in turn; there is one gap more."""
+    return F.array_join(F.flatten(F.zip_with(gaps, F.concat(values, F.array(F.lit(""))), lambda g, v: F.array(g, v))), "")
+
+
+def pseudonyms(candidate: Column, key: str) -> Column:
+    """Struct (text, n): the candidate with each of its values replaced, and how many were."""
+    one = f"{_DATE}|{_ADDRESS}"
+    several = candidate.rlike(_SEVERAL)
+    values = F.when(several, F.regexp_extract_all(candidate, F.lit(one), F.lit(0))).otherwise(F.array(candidate))
+    gaps = F.when(several, F.split(candidate, one, -1)).otherwise(F.array(F.lit(""), F.lit("")))
+    made = F.struct(gaps.alias("g"), values.alias("v"), F.transform(values, lambda v: pseudonym(v, key)).alias("m"))
+    return F.element_at(
+        F.transform(F.array(made), lambda s: F.struct(
+            _joined(s.g, s.m).alias("text"), F.size(F.filter(F.zip_with(s.v, s.m, lambda a, b: a != b), lambda x: x)).alias("n"),
+        )), 1,
+    )
+
+
 def pseudonymise_pages(pages: DataFrame, key: str) -> DataFrame:
     """``tournament_id``, ``page_text`` with pseudonyms, and ``n_replaced`` for every page.
 
-    Replaced are dates (ISO and day/month/year, real days of 1900..2099), telephone numbers of ten digits, network addresses
-    and card numbers that pass the Luhn test. Anything else, such as a number that fails its test, stays letter for letter.
+    Replaced are dates (ISO, day/month/year and month/day/year, real days of 1900..2099, also in intervals), telephone numbers of
+    ten digits (a country code before them stays), network addresses (also in ranges and with a prefix length, which stays) and
+    card numbers that pass the Luhn test. Anything else, such as a number that fails its test, stays letter for letter.
+    A slashed date that is one in both orders counts as day/month/year.
     The same value under the same ``key`` becomes the same pseudonym on every page; different values never share one.
 
     Nothing moves: one row per row, NULL texts stay NULL with 0 replaced, repeats and NULL keys stay, further columns are
@@ -174,9 +234,9 @@ def pseudonymise_pages(pages: DataFrame, key: str) -> DataFrame:
     """
     text = F.col("page_text")
     rows = pages.select("tournament_id", "page_text", F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("found"))
-    rows = rows.withColumn("made", F.transform("found", lambda v: pseudonym(v, key)))
-    whole = F.array_join(F.flatten(F.zip_with(F.split(text, CANDIDATE, -1), F.concat("made", F.array(F.lit(""))), lambda g, v: F.array(g, v))), "")
-    changed = F.size(F.filter(F.zip_with("found", "made", lambda a, b: a != b), lambda x: x))
+    rows = rows.withColumn("made", F.transform("found", lambda v: pseudonyms(v, key)))
+    whole = _joined(F.split(text, CANDIDATE, -1), F.col("made.text"))
+    changed = F.aggregate("made.n", F.lit(0), lambda s, n: s + n)
     return rows.select(
         "tournament_id", F.when(F.size("found") > 0, whole).otherwise(text).alias("page_text"),
         F.when(F.size("found") > 0, changed).otherwise(0).cast("bigint").alias("n_replaced"),

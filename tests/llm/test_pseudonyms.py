@@ -100,3 +100,31 @@ def test_query_changes_valid_numbers_and_nothing_else(spark, sf_dir):
         for a, b in zip(old, new):
             assert (a != b) == valid(a) and seen.setdefault(a, b) == b
     assert len(set(seen.values())) == len(seen)
+
+
+def test_common_forms(spark):
+    forms = [
+        ("+1-555-123-4567", r"\+1-\d{3}-\d{3}-\d{4}"), ("1-800-555-1234", r"1-\d{3}-\d{3}-\d{4}"), ("555.123.4567", r"\d{3}\.\d{3}\.\d{4}"),
+        ("555 123 4567", r"\d{3} \d{3} \d{4}"), ("+1 (743) 555-3824", r"\+1 \(\d{3}\) \d{3}-\d{4}"), ("+1(743) 555-3824", r"\+1\(\d{3}\) \d{3}-\d{4}"),
+        ("+15551234567", r"\+1\d{10}"), ("0044-555-123-4567", r"0044-\d{3}-\d{3}-\d{4}"), ("10.0.0.1/24", r"[\d.]+/24"), ("10.0.0.1-10.0.0.9", r"[\d.]+-[\d.]+"),
+        ("2001-02-03/2001-02-04", r"\d{4}-\d\d-\d\d/\d{4}-\d\d-\d\d"), ("3782 822463 10005", r"3\d{3} \d{6} \d{5}"), ("12/25/1990", r"\d\d/(1[3-9]|2\d|3[01])/\d{4}"),
+        ("1/25/1990-13/2/1990", r"\d+/(1[3-9]|2\d|3[01])/\d{4}-\d+/\d+/\d{4}"),
+    ]
+    kept = ["12/32/1990", "13/13/1990", "300.1.1.1/24", "1-2-555-123-4567", "3782 822463 10006", "555-123-45678"]
+    texts = [f"x {v}, y" for v, _ in forms] + [f"x {v}, y" for v in kept] + ["10.0.0.1 10.0.0.9 2001-02-03 2001-02-04"]
+    got = [(r.page_text, r.n_replaced) for r in P.pseudonymise_pages(_pages(spark, enumerate(texts)).coalesce(1), "k").collect()]
+    for (v, form), (text, n) in zip(forms, got):
+        assert re.fullmatch(f"x {form}, y", text) and v not in text, (v, text)
+        assert n == (2 if re.search(r"\d-\d+\.|\d/2001-|1990-", v) else 1), (v, text, n)
+    assert [t for t, _ in got[len(forms) : -1]] == [f"x {v}, y" for v in kept]
+    assert _luhn(re.sub(r"\D", "", got[11][0]))
+    a, b, c, d = got[-1][0].split()
+    assert got[8][0] == f"x {a}/24, y" and got[9][0] == f"x {a}-{b}, y" and got[10][0] == f"x {c}/{d}, y"
+
+
+def test_month_first_dates_never_share_a_pseudonym(spark):
+    days = spark.range(365 * 3).select(F.date_add(F.lit("1990-01-01"), F.col("id").cast("int")).alias("d"))
+    late = days.where(F.dayofmonth("d") > 12).select(F.date_format("d", "MM/dd/yyyy").alias("v"))
+    every = late.union(days.select(F.date_format("d", "dd/MM/yyyy"))).select("v", P.date_text(F.col("v"), "k").alias("m"))
+    n, different, wrong = every.agg(F.count("m"), F.countDistinct("m"), F.count_if((F.substring("v", 4, 2).cast("int") > 12) != (F.substring("m", 4, 2).cast("int") > 12))).first()
+    assert n == different and wrong == 0
