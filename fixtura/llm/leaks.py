@@ -14,6 +14,9 @@ from fixtura.runtime import sized_broadcast
 
 WINDOW_WORDS = 10
 PROBES = 2
+# Proximity: words may stand up to SLOP positions from their places, and one word in MISSING_OF may be missing.
+SLOP = 3
+MISSING_OF = 5
 # The probe table is broadcast up to this many rows (about 60 bytes each).
 PROBE_ROWS = 1_000_000
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -51,11 +54,11 @@ def held_out_windows(held_out: DataFrame, size: int = WINDOW_WORDS) -> tuple[Dat
     return windows, stored(cut.join(windows, "run").select("wid", "wiki_page").distinct())
 
 
-def probes(pages: DataFrame, windows: DataFrame, count: int = PROBES) -> DataFrame:
+def probes(pages: DataFrame, windows: DataFrame, count: int = PROBES, near: bool = False) -> DataFrame:
     """The ``count`` rarest terms of each window, rank 1 the rarest: (term, wid, rank, offset, len), offset from 0.
 
     Rarity is the number of occurrences in all ``pages``. A window with a term that occurs nowhere has no probes, because
-    it can match nowhere. A window of one word has one probe.
+    it can match nowhere as a phrase; with ``near`` its other terms are its probes. A window of one word has one probe.
     """
     terms = windows.select("wid", "len", F.posexplode("run").alias("offset", "term"))
     vocabulary = sized_broadcast(stored(terms.select("term").distinct()))
@@ -63,16 +66,17 @@ def probes(pages: DataFrame, windows: DataFrame, count: int = PROBES) -> DataFra
     known = terms.join(stored(counts), "term", "left")
     by = W.partitionBy("wid")
     ranked = known.withColumns({
-        "rank": F.row_number().over(by.orderBy("n", "term", "offset")), "least": F.min(F.coalesce("n", F.lit(0))).over(by),
+        "rank": F.row_number().over(by.orderBy(F.col("n").asc_nulls_last(), "term", "offset")), "least": F.min(F.coalesce("n", F.lit(0))).over(by),
     })
-    return ranked.where((F.col("rank") <= count) & (F.col("least") > 0)).select("term", "wid", "rank", "offset", "len")
+    return ranked.where((F.col("rank") <= count) & (F.col("n" if near else "least") > 0)).select("term", "wid", "rank", "offset", "len")
 
 
-def postings(pages: DataFrame, probe: DataFrame) -> DataFrame:
+def postings(pages: DataFrame, probe: DataFrame, near: bool = False) -> DataFrame:
     """Index of the probe terms, adjusted by their offsets: (wid, rank, t1, t2, start, len, c1, c2).
 
     ``start`` is where the window would begin. Rank 1 also carries a hash of the words that stand there, for the exact
-    check. Pages are read once; the probe table joins by broadcast if it is small enough and by a shuffle otherwise.
+    check. Pages are read once; the probe table joins by broadcast if it is small enough and by a shuffle otherwise. With
+    ``near``, windows that would begin before the text or run past its end are kept (``start`` may be negative), without hash.
     """
     w = pages.select(*_ident(F.col("page_text")), words(F.col("page_text")).alias("w"))
     at = w.select("t1", "t2", "w", F.size("w").alias("n"), F.lit(0).alias("shift"), F.posexplode("w").alias("pos", "term"))
@@ -85,8 +89,8 @@ def postings(pages: DataFrame, probe: DataFrame) -> DataFrame:
         at = at.withColumns({"shift": shift, "w": F.slice("w", shift + 1, 2 * reach + 1)}).join(probe, "term")
     start = F.col("pos") - F.col("offset")
     run = F.when(F.col("rank") == 1, F.slice("w", F.greatest(start - F.col("shift"), F.lit(0)) + 1, F.col("len")))
-    inside = at.where((start >= 0) & (start + F.col("len") <= F.col("n")))
-    return stored(inside.select("wid", "rank", "t1", "t2", start.alias("start"), "len", *_check(run)))
+    inside = at if near else at.where((start >= 0) & (start + F.col("len") <= F.col("n")))
+    return stored(inside.select("wid", "rank", "t1", "t2", start.alias("start"), "len", *([] if near else _check(run))))
 
 
 def windows_reach(probe: DataFrame) -> int:
@@ -120,6 +124,53 @@ def matches(index: DataFrame, windows: DataFrame, slop: int = 0, count: int = PR
     return found if slop else found.where("kind = 'phrase'")
 
 
+def near_matches(pages: DataFrame, windows: DataFrame, size: int = WINDOW_WORDS, slop: int = SLOP) -> DataFrame:
+    """(wid, t1, t2, start, len, kind): every occurrence of a window as a ``phrase``, and in ``proximity``: one of its probe
+    terms stands at its place, and of all its words at most one in MISSING_OF does not stand within ``slop`` positions of its own.
+
+    There are two probes more than words may be missing, so any such passage has two of them within ``slop``; those are
+    looked for first, then all words are compared. Of proximity matches of a window that begin within ``slop`` of one another
+    the first is returned, and none beside a phrase. A match is cut at the edges of its text.
+    """
+    index = postings(pages, stored(probes(pages, windows, size // MISSING_OF + 2, near=True)), near=True)
+    key = ["wid", "t1", "t2"]
+    around = W.partitionBy(*key).orderBy("start").rangeBetween(-slop, slop)
+    agreed = index.withColumns({"low": F.min("rank").over(around), "high": F.max("rank").over(around)}).where("low < high OR len = 1")
+    candidates = stored(agreed.select(*key, "start").distinct().join(sized_broadcast(windows), "wid"))
+    texts = pages.select(*_ident(F.col("page_text")), words(F.col("page_text")).alias("w")).withColumn("n", F.size("w"))
+    base = F.greatest(F.lit(0), F.col("start") - slop)
+    at = texts.join(sized_broadcast(candidates, PROBE_ROWS), ["t1", "t2"]).select(
+        *key, "start", "len", "n", "run", (F.col("start") - base).alias("shift"), F.slice("w", base + 1, F.col("len") + 2 * slop).alias("w")
+    )
+
+    def stands(word: Column, place: Column) -> Column:
+        first = F.greatest(F.lit(0), F.col("shift") + place - slop)
+        return F.array_contains(F.slice("w", first + 1, F.greatest(F.lit(0), F.col("shift") + place + slop + 1 - first)), word)
+
+    missing = F.size(F.filter("run", lambda word, place: ~stands(word, place)))
+    exact = (F.col("start") >= 0) & (F.slice("w", F.greatest(F.lit(0), F.col("shift")) + 1, F.col("len")) == F.col("run"))
+    # Equal texts say the same once per copy.
+    held = at.where(missing <= F.floor(F.col("len") / MISSING_OF)).select(*key, "start", "len", "n", exact.alias("exact")).distinct()
+    before = F.lag("start").over(W.partitionBy(*key).orderBy("start"))
+    firsts = held.withColumns({"beside": F.max("exact").over(around), "gap": F.col("start") - before})
+    begin = F.greatest(F.lit(0), F.col("start"))
+    return firsts.where(F.col("exact") | (~F.col("beside") & (F.coalesce("gap", F.lit(slop + 1)) > slop))).select(
+        *key, begin.alias("start"), (F.least(F.col("n"), F.col("start") + F.col("len")) - begin).alias("len"),
+        F.when(F.col("exact"), F.lit("phrase")).otherwise(F.lit("proximity")).alias("kind"),
+    )
+
+
+def find_matches(pages: DataFrame, held_out: DataFrame, size: int = WINDOW_WORDS, slop: int = SLOP) -> DataFrame:
+    """All matches of held-out windows, one row per row of ``pages``, match and held-out name: ``tournament_id``,
+    ``wiki_page``, ``kind`` (``phrase`` or ``proximity``), ``start`` (word, from 0) and ``len``. See ``near_matches``.
+    """
+    windows, items = held_out_windows(held_out, size)
+    found = near_matches(pages, windows, size, slop).join(sized_broadcast(items), "wid")
+    hits = stored(found.select("t1", "t2", "wiki_page", "kind", "start", "len").distinct())
+    rows = pages.select("tournament_id", *_ident(F.col("page_text")))
+    return rows.join(hits, ["t1", "t2"]).select("tournament_id", "wiki_page", "kind", "start", "len")
+
+
 def hit_words(found: DataFrame) -> DataFrame:
     """(t1, t2, n_hit): words of a text that lie inside any match, each counted once."""
     spans = found.select("t1", "t2", "start", (F.col("start") + F.col("len")).alias("end")).groupBy("t1", "t2", "start").agg(F.max("end").alias("end"))
@@ -137,11 +188,11 @@ def find_leaks(pages: DataFrame, held_out: DataFrame, size: int = WINDOW_WORDS)
 
     NULL and empty texts have no words. Rows with a NULL key and repeated rows are returned like any other; a held-out row
     with a NULL name still hits but is named nowhere. Either table may be empty; further columns are not read. Nothing is
-    grouped by page but its own matches, and identical texts share one set of them.
+    grouped by page but its own matches, and identical texts share one set of them. Of the matches only
+    the phrases count here; ``find_matches`` returns all.
     """
     windows, items = held_out_windows(held_out, size)
-    index = postings(pages, stored(probes(pages, windows)))
-    found = stored(matches(index, windows))
+    found = stored(near_matches(pages, windows, size).where("kind = 'phrase'"))
     named = found.select("t1", "t2", "wid").distinct().join(sized_broadcast(items), "wid").groupBy("t1", "t2").agg(
         F.array_sort(F.collect_set(F.col("wiki_page").cast("string"))).alias("leaked")
     )

@@ -69,6 +69,47 @@ def test_proximity_adds_displaced_terms(spark):
     assert sorted(r.kind for r in leaks.matches(index, windows, slop=1).collect()) == ["phrase", "proximity"]
 
 
+def brute_near(pages, items, size, slop):
+    """Without the choice among neighbours: {(key, name, kind, start, len)} and all places in proximity."""
+    phrases, near = set(), set()
+    for key, text in pages:
+        w = _words(text)
+        for name, item in items:
+            v = _words(item)
+            for run in {tuple(v[i : i + size]) for i in range(max(1, len(v) - size + 1) if v else 0)}:
+                for s in range(1 - len(run), len(w)):
+                    if s >= 0 and tuple(w[s : s + len(run)]) == run:
+                        phrases.add((key, name, run, s))
+                    missing = sum(x not in w[max(0, s + j - slop) : max(0, s + j + slop + 1)] for j, x in enumerate(run))
+                    if missing <= len(run) // leaks.MISSING_OF and any(0 <= s + j < len(w) and w[s + j] == x for j, x in enumerate(run)):
+                        near.add((key, name, run, s))
+    return phrases, near
+
+
+def test_matches_with_replaced_and_displaced_words(spark):
+    item = "one two three four five six seven eight nine ten"
+    texts = [
+        f"pad pad {item} pad", f"pad {item.replace('four', 'other')} pad", f"x {item.replace('six', 'other').replace('two', 'more')}",
+        item.replace("one two ", ""), "two one four three five six filler seven eight nine ten", item.replace("two", "a").replace("six", "b").replace("ten", "c"),
+        "q " * 9 + item.replace(" nine ten", ""), "nothing of it", None, f"{item.replace('four', 'other')} {item.replace('nine', 'other')}",
+    ]
+    for unseen in (True, False):
+        pages = [(i, t.replace("eight", "unseen") if t and unseen else t) for i, t in enumerate(texts)]
+        p, h = spark.createDataFrame(pages, "tournament_id long, page_text string"), spark.createDataFrame([("A", item), ("B", "pad")], "wiki_page string, page_text string")
+        got = [tuple(r) for r in leaks.find_matches(p, h, 10, 2).collect()]
+        phrases, near = brute_near(pages, [("A", item), ("B", "pad")], 10, 2)
+        assert {(k, n, s) for k, n, kind, s, _ in got if kind == "phrase"} == {(k, n, s) for k, n, _, s in phrases}
+        assert len(got) == len(set(got)) and {(k, n) for k, n, *_ in got} == {(k, n) for k, n, *_ in near}
+        assert {(k, n, s) for k, n, kind, s, _ in got if kind == "proximity"} <= {(k, n, max(0, s)) for k, n, _, s in near}
+        for k, n, _, s in near:
+            if n == "A":
+                assert any((k, n) == g[:2] and abs(g[3] - max(0, s)) <= 10 for g in got)
+        lengths = {k: len(_words(t)) for k, t in pages}
+        assert all(s >= 0 and 0 < m <= 10 and s + m <= lengths[k] for k, _, _, s, m in got)
+    assert {k for k, n, *_ in got if n == "A"} == {0, 1, 2, 3, 4, 6, 9}
+    assert (3, "A", "proximity", 0, 8) in got and (1, "A", "proximity", 1, 10) in got and (6, "A", "proximity", 9, 8) in got
+
+
 def test_rows_with_leaks_go(spark):
     docs = spark.createDataFrame([(1, "the big red fox runs", "t1"), (None, "clean text", "t2"), (2, None, None)], "doc_id long, text string, t1 string")
     items = spark.createDataFrame([("A", "big red fox")], "wiki_page string, page_text string")
