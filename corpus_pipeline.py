@@ -12,6 +12,9 @@ from fixtura.llm.queries import MIX_EXPONENT, MIX_SEED, SHARDS, judged, pages
 from fixtura.llm.store import stored
 
 TOXIC = 0.7
+# Near-copies share this percentage of their sets of COPY_WORDS words; op2_ngram_jaccard has values of its own.
+COPY_WORDS = 5
+COPY_PERCENT = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-copies, the one with the smallest doc_id."""
-    return jaccard.keep_one_of_copies(docs, "doc_id", "text")
+    return jaccard.keep_one_of_copies(docs, "doc_id", "text", COPY_WORDS, COPY_PERCENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,6 +35,13 @@ def test_stages_take_odd_rows(spark, sf_dir):
         assert docs.count() == (5 if name == "toxicity" else 4)
 
 
+def test_copy_with_a_fifth_appended_goes(spark, sf_dir):
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    base = [f"word{i}" for i in range(400)]
+    rows = [(1, " ".join(base), "en", "a", 0), (2, " ".join(base + [f"more{i}" for i in range(80)]), "en", "a", 0), (3, " ".join(base + [f"much{i}" for i in range(140)]), "en", "a", 0)]
+    assert sorted(r.doc_id for r in C.keep_one_of_copies(spark, spark.createDataFrame(rows, schema), sf_dir).collect()) == [1, 3]
+
+
 def test_rest_imports_without_the_corpus_part(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     for name in ("fixtura", "workload", "__spark_entry__.py"):
