@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fixtura.llm import checks, jaccard, languages, leaks, lines, mixing, neighbours, pseudonyms, quality, sharding, toxicity
+from fixtura.llm import careers, checks, jaccard, languages, leaks, lines, mixing, neighbours, pseudonyms, quality, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -129,3 +129,21 @@ def _(s, d):
         F.col("file").alias("doc_id"), F.col("position").cast("bigint").alias("position"), F.col("first_file").alias("first_doc_id"),
         F.col("first_position").cast("bigint").alias("first_position"), "keep",
     )
+
+
+# Turns that a rebuilt conversation may take from another one.
+MOST_BORROWED = 5
+
+
+@query("op11_prefix_trie", checks.PREFIX_TRIE)
+def _(s, d):
+    """Conversations as careers: a turn is an appearance, its role the position and its text the club."""
+    turns = table(s, d, "conversations").select(
+        F.col("conv_id").alias("sofifa_player_id"), F.col("turn").alias("year"), F.col("role").alias("position"), F.col("text").alias("club")
+    )
+    c = F.col("sofifa_player_id")
+    rebuilt = careers.with_borrowed_starts(careers.careers(turns), c - c % 100, remainder("sofifa_player_id", MOST_BORROWED + 1), MOST_BORROWED)
+    return careers.career_trie(rebuilt).select(
+        F.col("sofifa_player_id").alias("conv_id"), "depth", F.col("parent_player_id").alias("parent_conv_id"), F.col("n_players").alias("n_convs"),
+        "n_children", "n_leaves", F.col("saved_points").alias("saved_tokens"), "ends_sha256",
+    )
