@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fixtura.llm import careers, checks, jaccard, languages, leaks, lines, mixing, neighbours, pseudonyms, quality, sharding, toxicity
+from fixtura.llm import careers, checks, jaccard, languages, leaks, lines, mixing, neighbours, pseudonyms, quality, sharding, toxicity, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -147,3 +147,11 @@ def _(s, d):
         F.col("sofifa_player_id").alias("conv_id"), "depth", F.col("parent_player_id").alias("parent_conv_id"), F.col("n_players").alias("n_convs"),
         "n_children", "n_leaves", F.col("saved_points").alias("saved_tokens"), "ends_sha256",
     )
+
+
+@query("op12_whitening")
+def _(s, d):
+    players = table(s, d, "embeddings").select(F.col("vec_id").alias("player_id"), F.col("embedding").alias("attributes"))
+    return whitening.whiten_players(players).select(
+        F.col("player_id").alias("vec_id"), "component", "n", F.col("deviation").cast("bigint").alias("deviation"), "whitened", "explained", "identity_error"
+    )
