@@ -24,6 +24,7 @@ from fixtura.runtime import sized_broadcast
 # Appearances that are held in memory at once.
 RUN = 1 << 18
 _NONE = hashlib.sha256(b"").hexdigest()
+_ENDS = pa.schema([("s1", pa.int64()), ("s2", pa.int64()), ("least", pa.int64()), ("copies", pa.int64()), ("ends", pa.string())])
 _NODE = (
     "open boolean, run long, side int, depth long, k1 long, k2 long, p1 long, p2 long, sofifa_player_id long, parent_player_id long, "
     "n_players long, n_children long, n_leaves long, saved_points long, points long, ends_sha256 string"
@@ -66,32 +67,38 @@ def with_borrowed_starts(own: DataFrame, donor: Column, lead: Column, most: int)
     return wanted.join(lent, "donor", "left").select("sofifa_player_id", F.concat(start, rest).alias("steps"))
 
 
+def _joined_players(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (s1, s2, player): per career and batch its least player, how many there are and their text."""
+    for batch in batches:
+        s1, s2, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        if len(s1):
+            cuts = np.flatnonzero(np.r_[True, (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])])
+            text = [",".join(map(str, own.tolist())) for own in np.split(ids, cuts[1:])]
+            columns = [s1[cuts], s2[cuts], ids[cuts], np.diff(np.r_[cuts, len(s1)]), text]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["s1", "s2", "least", "copies", "text"])
+
+
 def _digest_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per career, in rows sorted by (s1, s2, player): the hash of its players, fed to the hash as they come."""
-    now, state, first, count = None, None, 0, 0
+    """Of rows sorted by (s1, s2, least): per career the hash of all its players, fed to the hash as they come."""
+    now, state, least, copies = None, None, 0, 0
 
     def closed(rows):
-        columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))]
-        return pa.RecordBatch.from_arrays(columns, ["s1", "s2", "least", "copies", "ends"])
+        return pa.RecordBatch.from_pylist([dict(zip(_ENDS.names, r)) for r in rows], _ENDS)
 
     for batch in batches:
-        s1, s2, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        cuts = np.flatnonzero(np.r_[True, (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])]) if len(s1) else np.zeros(0, int)
         done = []
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(s1)]):
-            key, own = (int(s1[a]), int(s2[a])), ids[a:b].tolist()
-            text = ",".join(map(str, own))
-            if key == now:
+        for s1, s2, first, count, text in zip(*(c.to_pylist() for c in batch.columns)):
+            if now == (s1, s2):
                 state.update(f",{text}".encode())
-                count += len(own)
+                copies += count
                 continue
             if now is not None:
-                done.append((*now, first, count, state.hexdigest()))
-            now, state, first, count = key, hashlib.sha256(text.encode()), own[0], len(own)
+                done.append((*now, least, copies, state.hexdigest()))
+            now, state, least, copies = (s1, s2), hashlib.sha256(text.encode()), first, count
         if done:
             yield closed(done)
     if now is not None:
-        yield closed([(*now, first, count, state.hexdigest())])
+        yield closed([(*now, least, copies, state.hexdigest())])
 
 
 def _minima(values: np.ndarray) -> list[np.ndarray]:
@@ -266,8 +273,12 @@ def career_trie(own: DataFrame, run: int = RUN) -> DataFrame:
     or one career where that is longer, and a batch of careers. Steps are told apart by 128 bits of hash.
     """
     keyed = stored(own.select("sofifa_player_id", "steps", F.xxhash64("steps").alias("s1"), F.xxhash64(F.lit(1), "steps").alias("s2")))
-    players = keyed.select("s1", "s2", "sofifa_player_id").repartition("s1", "s2").sortWithinPartitions("s1", "s2", "sofifa_player_id")
-    ends = players.mapInArrow(_digest_ends, "s1 long, s2 long, least long, copies long, ends string")
+    # A range holds part of a career with many players; only joined texts of such parts meet in one task, as SHA-256 needs them.
+    players = keyed.select("s1", "s2", "sofifa_player_id")
+    players = players.repartitionByRange(*players.columns).sortWithinPartitions(*players.columns)
+    parts = players.mapInArrow(_joined_players, "s1 long, s2 long, least long, copies long, text string")
+    parts = parts.repartition("s1", "s2").sortWithinPartitions("s1", "s2", "least")
+    ends = parts.mapInArrow(_digest_ends, "s1 long, s2 long, least long, copies long, ends string")
     distinct = keyed.groupBy("s1", "s2").agg(F.first("steps").alias("steps"))
     told = stored(distinct.join(ends, ["s1", "s2"]).select("steps", "least", "copies", "ends"))
     ordered = told.repartitionByRange("steps").sortWithinPartitions("steps").select("steps.a", "steps.b", "steps.points", "least", "copies", "ends")
