@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fixtura.llm import careers, checks, jaccard, languages, leaks, lines, mixing, neighbours, pseudonyms, quality, sharding, toxicity, whitening
+from fixtura.llm import careers, checks, fluency, jaccard, languages, leaks, lines, mixing, neighbours, pseudonyms, quality, sharding, toxicity, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -155,3 +155,11 @@ def _(s, d):
     return whitening.whiten_players(players).select(
         F.col("player_id").alias("vec_id"), "component", "n", F.col("deviation").cast("bigint").alias("deviation"), "whitened", "explained", "identity_error"
     )
+
+
+@query("op13_lm_scoring")
+def _(s, d):
+    found = fluency.page_fluency(pages(table(s, d, "documents")), remainder("tournament_id", 7) != 2)
+    return found.select(
+        F.col("tournament_id").alias("doc_id"), (remainder("tournament_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +22,17 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(TEXT_BATCH))
 
 
+@contextmanager
+def text_batches(spark: SparkSession) -> Iterator[None]:
+    """Within the block Arrow batches have at most TEXT_BATCH rows; for tables written inside it."""
+    before = spark.conf.get(_BATCH)
+    small_batches(spark)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet under the checkpoint folder and read back with its own schema."""
     spark = df.sparkSession
