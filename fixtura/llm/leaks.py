@@ -13,11 +13,10 @@ from fixtura.llm.store import stored
 from fixtura.runtime import sized_broadcast
 
 WINDOW_WORDS = 10
-PROBES = 2
 # Proximity: words may stand up to SLOP positions from their places, and one word in MISSING_OF may be missing.
 SLOP = 3
 MISSING_OF = 5
-# The probe table is broadcast up to this many rows (about 60 bytes each).
+# Marks, probes and hashes of texts are broadcast up to this many rows (at most about 60 bytes each).
 PROBE_ROWS = 1_000_000
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _GAPS = "".join(chr(i) for i in range(0x80) if not (0x30 <= i <= 0x39 or 0x41 <= i <= 0x5A or 0x61 <= i <= 0x7A))
@@ -35,93 +34,65 @@ def _ident(text: Column) -> list[Column]:
     return [F.xxhash64(t).alias("t1"), F.xxhash64(F.lit(1), t).alias("t2")]
 
 
-def _check(run: Column) -> list[Column]:
-    return [F.xxhash64(run).alias("c1"), F.xxhash64(F.lit(1), run).alias("c2")]
-
-
 def held_out_windows(held_out: DataFrame, size: int = WINDOW_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(distinct windows, item of each window).
+    """(distinct windows, names of each window).
 
     A window is ``size`` consecutive words; an item with fewer, but some, is one window; an item without words has none.
-    Windows: ``wid``, ``run`` (its words), ``len``. Items: ``wid``, ``wiki_page``.
+    Windows: ``wid``, ``run`` (its words), ``len``, and one place where it stands: ``iid`` (a distinct item) and ``at`` (word,
+    from 0). Names: ``wid``, ``wiki_page``.
     """
     item = held_out.select("wiki_page", words(F.col("page_text")).alias("w")).where("size(w) > 0")
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - size + 1))
-    cut = item.select("wiki_page", F.explode(F.transform(starts, lambda i: F.slice("w", i, size))).alias("run")).distinct()
+    texts = stored(item.select("w").distinct().select(F.monotonically_increasing_id().alias("iid"), "w"))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - size))
+    cut = texts.select("iid", "w", F.explode(starts).alias("at")).select("iid", "at", F.slice("w", F.col("at") + 1, F.lit(size)).alias("run"))
     windows = stored(
-        cut.select("run").distinct().select(F.monotonically_increasing_id().alias("wid"), "run", F.size("run").alias("len"))
+        cut.groupBy("run").agg(F.min(F.struct("iid", "at")).alias("place"))
+        .select(F.monotonically_increasing_id().alias("wid"), "run", F.size("run").alias("len"), "place.iid", "place.at")
     )
-    return windows, stored(cut.join(windows, "run").select("wid", "wiki_page").distinct())
-
+    names = item.join(texts, "w").select("iid", "wiki_page").join(cut, "iid").join(windows.select("wid", "run"), "run")
+    return windows, stored(names.select("wid", "wiki_page").distinct())
 
-def probes(pages: DataFrame, windows: DataFrame, count: int = PROBES, near: bool = False) -> DataFrame:
-    """The ``count`` rarest terms of each window, rank 1 the rarest: (term, wid, rank, offset, len), offset from 0.
 
-    Rarity is the number of occurrences in all ``pages``. A window with a term that occurs nowhere has no probes, because
-    it can match nowhere as a phrase; with ``near`` its other terms are its probes. A window of one word has one probe.
-    """
-    terms = windows.select("wid", "len", F.posexplode("run").alias("offset", "term"))
+def probes(pages: DataFrame, windows: DataFrame, count: int) -> DataFrame:
+    """The ``count`` rarest terms of each window among those that ``pages`` hold, rank 1 the rarest: (wid, rank, len, iid, at,
+    place, term) with the word ``place`` of the item where the term stands. Rarity is the number of occurrences in all pages."""
+    terms = windows.select("wid", "len", "iid", "at", F.posexplode("run").alias("offset", "term"))
     vocabulary = sized_broadcast(stored(terms.select("term").distinct()))
     counts = pages.select(F.explode(words(F.col("page_text"))).alias("term")).join(vocabulary, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    known = terms.join(stored(counts), "term", "left")
-    by = W.partitionBy("wid")
-    ranked = known.withColumns({
-        "rank": F.row_number().over(by.orderBy(F.col("n").asc_nulls_last(), "term", "offset")), "least": F.min(F.coalesce("n", F.lit(0))).over(by),
-    })
-    return ranked.where((F.col("rank") <= count) & (F.col("n" if near else "least") > 0)).select("term", "wid", "rank", "offset", "len")
+    rank = F.row_number().over(W.partitionBy("wid").orderBy("n", "term", "offset"))
+    ranked = terms.join(stored(counts), "term").withColumn("rank", rank).where(F.col("rank") <= count)
+    return ranked.select("wid", "rank", "len", "iid", "at", (F.col("at") + F.col("offset")).alias("place"), "term")
 
 
-def postings(pages: DataFrame, probe: DataFrame, near: bool = False) -> DataFrame:
-    """Index of the probe terms, adjusted by their offsets: (wid, rank, t1, t2, start, len, c1, c2).
+def postings(pages: DataFrame, marks: DataFrame) -> DataFrame:
+    """Index of the probe terms: (t1, t2, iid, place, diagonal), each once per text. ``diagonal`` is the position in the text less
+    ``place``, so all words of a copied stretch lie on one diagonal.
 
-    ``start`` is where the window would begin. Rank 1 also carries a hash of the words that stand there, for the exact
-    check. Pages are read once; the probe table joins by broadcast if it is small enough and by a shuffle otherwise. With
-    ``near``, windows that would begin before the text or run past its end are kept (``start`` may be negative), without hash.
+    Windows that overlap share their probes, so a word of a text is posted once per item and place, not once per window.
+    ``marks``: (term, iid, place, lone). The mark table joins by broadcast if it is small enough and by a shuffle otherwise.
     """
-    w = pages.select(*_ident(F.col("page_text")), words(F.col("page_text")).alias("w"))
-    at = w.select("t1", "t2", "w", F.size("w").alias("n"), F.lit(0).alias("shift"), F.posexplode("w").alias("pos", "term"))
-    if probe.count() <= PROBE_ROWS:
-        at = at.join(F.broadcast(probe), "term")
-    else:
-        # A posting that moves takes along the words around it, not those of its whole page.
-        reach = windows_reach(probe)
-        shift = F.greatest(F.col("pos") - reach, F.lit(0))
-        at = at.withColumns({"shift": shift, "w": F.slice("w", shift + 1, 2 * reach + 1)}).join(probe, "term")
-    start = F.col("pos") - F.col("offset")
-    run = F.when(F.col("rank") == 1, F.slice("w", F.greatest(start - F.col("shift"), F.lit(0)) + 1, F.col("len")))
-    inside = at if near else at.where((start >= 0) & (start + F.col("len") <= F.col("n")))
-    return stored(inside.select("wid", "rank", "t1", "t2", start.alias("start"), "len", *([] if near else _check(run))))
-
-
-def windows_reach(probe: DataFrame) -> int:
-    """The longest window among the probes."""
-    return probe.agg(F.max("len")).first()[0] or 1
-
-
-def matches(index: DataFrame, windows: DataFrame, slop: int = 0, count: int = PROBES) -> DataFrame:
-    """(wid, t1, t2, start, len, kind): ``phrase`` where all words of a window stand in order, ``proximity`` where only the
-    probe terms lie within ``slop`` positions of their places. With ``slop`` 0 only phrases are returned.
-
-    Lists are intersected from the rarest term on, by equality of (window, text, start).
+    w = pages.select(*_ident(F.col("page_text")), F.posexplode(words(F.col("page_text"))).alias("pos", "term"))
+    found = w.join(sized_broadcast(marks, PROBE_ROWS), "term")
+    return found.select("t1", "t2", "iid", "place", (F.col("pos") - F.col("place")).alias("diagonal"), "lone").distinct()
+
+
+def _candidates(pages: DataFrame, windows: DataFrame, size: int, slop: int) -> DataFrame:
+    """(wid, t1, t2, start): where a probe of a window stands at its place and another one of it within ``slop`` of its own.
+
+    Two probes of an item within ``slop`` diagonals are looked for first; only postings that have such company are taken to
+    the windows that use them, and asked again window by window. A window of one word needs no company.
     """
-    key = ["wid", "t1", "t2"]
-    first = index.where("rank = 1").select(*key, "start", "len", "c1", "c2")
-    near = first
-    for rank in range(2, count + 1):
-        other = index.where(F.col("rank") == rank).select(*key, F.col("start").alias("at"))
-        if slop:
-            other = other.select(*key, F.explode(F.sequence(F.col("at") - slop, F.col("at") + slop)).alias("at"))
-        has = other.withColumnRenamed("at", "start").distinct() if slop else other.withColumnRenamed("at", "start")
-        # A window whose terms are fewer than the rank has no list of that rank and needs none.
-        near = near.where(F.col("len") < rank).unionByName(near.where(F.col("len") >= rank).join(has, [*key, "start"], "left_semi"))
-    own = windows.select("wid", F.xxhash64("run").alias("w1"), F.xxhash64(F.lit(1), "run").alias("w2"))
-    exact = (F.col("c1") == F.col("w1")) & (F.col("c2") == F.col("w2"))
-    checked = near.join(sized_broadcast(own), "wid").select(
-        *key, "start", "len", F.when(exact, F.lit("phrase")).otherwise(F.lit("proximity")).alias("kind")
+    probe = stored(probes(pages, windows, size // MISSING_OF + 2))
+    marks = stored(probe.groupBy("term", "iid", "place").agg(F.max(F.col("len") == 1).alias("lone")))
+    around = W.partitionBy("t1", "t2", "iid").orderBy("diagonal").rangeBetween(-slop, slop)
+    near = postings(pages, marks).withColumns({"low": F.min("place").over(around), "high": F.max("place").over(around)})
+    near = near.where("low < high OR lone").select("t1", "t2", "iid", "place", "diagonal")
+    starts = near.join(sized_broadcast(probe.drop("term"), PROBE_ROWS), ["iid", "place"]).select(
+        "wid", "t1", "t2", "rank", "len", (F.col("diagonal") + F.col("at")).alias("start")
     )
-    # Equal texts put the same postings in once per copy.
-    found = checked.distinct()
-    return found if slop else found.where("kind = 'phrase'")
+    of_window = W.partitionBy("wid", "t1", "t2").orderBy("start").rangeBetween(-slop, slop)
+    agreed = starts.withColumns({"low": F.min("rank").over(of_window), "high": F.max("rank").over(of_window)}).where("low < high OR len = 1")
+    return stored(agreed.select("wid", "t1", "t2", "start").distinct())
 
 
 def near_matches(pages: DataFrame, windows: DataFrame, size: int = WINDOW_WORDS, slop: int = SLOP) -> DataFrame:
@@ -129,17 +100,20 @@ def near_matches(pages: DataFrame, windows: DataFrame, size: int = WINDOW_WORDS,
     terms stands at its place, and of all its words at most one in MISSING_OF does not stand within ``slop`` positions of its own.
 
     There are two probes more than words may be missing, so any such passage has two of them within ``slop``; those are
-    looked for first, then all words are compared. Of proximity matches of a window that begin within ``slop`` of one another
-    the first is returned, and none beside a phrase. A match is cut at the edges of its text.
+    looked for first, then all words are compared. Phrases do not depend on ``slop``. Of proximity matches of a window that
+    begin within ``slop`` of one another the first is returned, and none beside a phrase. A match is cut at the edges of its
+    text. NULL and empty texts match nothing; equal texts are one; either table may be empty; further columns are not read.
     """
-    index = postings(pages, stored(probes(pages, windows, size // MISSING_OF + 2, near=True)), near=True)
     key = ["wid", "t1", "t2"]
     around = W.partitionBy(*key).orderBy("start").rangeBetween(-slop, slop)
-    agreed = index.withColumns({"low": F.min("rank").over(around), "high": F.max("rank").over(around)}).where("low < high OR len = 1")
-    candidates = stored(agreed.select(*key, "start").distinct().join(sized_broadcast(windows), "wid"))
-    texts = pages.select(*_ident(F.col("page_text")), words(F.col("page_text")).alias("w")).withColumn("n", F.size("w"))
+    candidates = _candidates(pages, windows, size, slop)
+    holding = sized_broadcast(candidates.select("t1", "t2").distinct(), PROBE_ROWS)
+    # Texts without a candidate are left out before any text is moved; a candidate takes along the words around it.
+    texts = pages.select(*_ident(F.col("page_text")), F.coalesce("page_text", F.lit("")).alias("text")).join(holding, ["t1", "t2"], "left_semi")
+    texts = texts.groupBy("t1", "t2").agg(F.first("text").alias("text")).select("t1", "t2", words(F.col("text")).alias("w")).withColumn("n", F.size("w"))
     base = F.greatest(F.lit(0), F.col("start") - slop)
-    at = texts.join(sized_broadcast(candidates, PROBE_ROWS), ["t1", "t2"]).select(
+    wanted = candidates.join(sized_broadcast(windows.select("wid", "run", "len")), "wid")
+    at = texts.join(wanted, ["t1", "t2"]).select(
         *key, "start", "len", "n", "run", (F.col("start") - base).alias("shift"), F.slice("w", base + 1, F.col("len") + 2 * slop).alias("w")
     )
 
@@ -149,8 +123,7 @@ def near_matches(pages: DataFrame, windows: DataFrame, size: int = WINDOW_WORDS,
 
     missing = F.size(F.filter("run", lambda word, place: ~stands(word, place)))
     exact = (F.col("start") >= 0) & (F.slice("w", F.greatest(F.lit(0), F.col("shift")) + 1, F.col("len")) == F.col("run"))
-    # Equal texts say the same once per copy.
-    held = at.where(missing <= F.floor(F.col("len") / MISSING_OF)).select(*key, "start", "len", "n", exact.alias("exact")).distinct()
+    held = at.where(missing <= F.floor(F.col("len") / MISSING_OF)).select(*key, "start", "len", "n", exact.alias("exact"))
     before = F.lag("start").over(W.partitionBy(*key).orderBy("start"))
     firsts = held.withColumns({"beside": F.max("exact").over(around), "gap": F.col("start") - before})
     begin = F.greatest(F.lit(0), F.col("start"))
@@ -163,6 +136,9 @@ def near_matches(pages: DataFrame, windows: DataFrame, size: int = WINDOW_WORDS,
 def find_matches(pages: DataFrame, held_out: DataFrame, size: int = WINDOW_WORDS, slop: int = SLOP) -> DataFrame:
     """All matches of held-out windows, one row per row of ``pages``, match and held-out name: ``tournament_id``,
     ``wiki_page``, ``kind`` (``phrase`` or ``proximity``), ``start`` (word, from 0) and ``len``. See ``near_matches``.
+
+    Rows with a NULL key and repeated rows match like any other; a held-out row with a NULL name matches under that name. NULL
+    and empty texts have no matches. Either table may be empty. Further columns are not read.
     """
     windows, items = held_out_windows(held_out, size)
     found = near_matches(pages, windows, size, slop).join(sized_broadcast(items), "wid")
@@ -206,10 +182,13 @@ def find_leaks(pages: DataFrame, held_out: DataFrame, size: int = WINDOW_WORDS)
 
 
 def without_leaks(pages: DataFrame, text: str, held_out: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
-    """Rows of ``pages``, all columns, whose ``text`` holds no held-out window; the matches of ``find_leaks`` decide."""
+    """Rows of ``pages``, all columns, whose ``text`` holds no held-out window: the phrases of ``near_matches``.
+
+    Rows with a NULL or empty text stay, and repeated rows share their fate. Either table may be empty.
+    """
     windows, _ = held_out_windows(held_out, size)
     read = pages.select(F.col(f"`{text}`").alias("page_text"))
-    found = matches(postings(read, stored(probes(read, windows))), windows)
+    found = near_matches(read, windows, size, slop=0).where("kind = 'phrase'")
     hit = stored(found.select("t1", "t2").distinct())
     t1, t2 = _ident(F.col(f"p.`{text}`"))
     return pages.alias("p").join(sized_broadcast(hit, PROBE_ROWS).alias("h"), (t1 == F.col("h.t1")) & (t2 == F.col("h.t2")), "left_anti")

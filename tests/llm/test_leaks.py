@@ -3,7 +3,6 @@
 import re
 
 from fixtura.llm import leaks
-from fixtura.llm.store import stored
 from fixtura.llm.queries import CHECKS, QUERIES
 from workload.compare import differences
 
@@ -63,10 +62,25 @@ def test_empty_tables(spark):
 
 def test_proximity_adds_displaced_terms(spark):
     pages = spark.createDataFrame([(1, "alpha filler beta gamma"), (2, "alpha beta gamma"), (3, "alpha x y z beta")], "tournament_id long, page_text string")
-    windows, _ = leaks.held_out_windows(spark.createDataFrame([("A", "alpha beta gamma")], "wiki_page string, page_text string"), 3)
-    index = leaks.postings(pages, stored(leaks.probes(pages, windows)))
-    assert [r.kind for r in leaks.matches(index, windows).collect()] == ["phrase"]
-    assert sorted(r.kind for r in leaks.matches(index, windows, slop=1).collect()) == ["phrase", "proximity"]
+    held = spark.createDataFrame([("A", "alpha beta gamma")], "wiki_page string, page_text string")
+    assert [tuple(r) for r in leaks.find_matches(pages, held, 3, slop=0).collect()] == [(2, "A", "phrase", 0, 3)]
+    assert sorted(r.kind for r in leaks.find_matches(pages, held, 3, slop=1).collect()) == ["phrase", "proximity"]
+
+
+def test_matches_of_odd_rows(spark):
+    schema = "tournament_id long, page_text string, wid int, place string"
+    rows = [(1, "big red fox", 0, "x"), (1, "big red fox", 0, "x"), (None, "big red fox", 0, "x"), (2, None, 0, "x"), (3, "", 0, "x")]
+    pages = spark.createDataFrame(rows, schema)
+    held = spark.createDataFrame([("A", "big red", 1), (None, "big red", 1), ("A", "big red", 1), ("B", None, 1), ("C", "", 1)], "wiki_page string, page_text string, t1 int")
+    got = sorted((tuple(r) for r in leaks.find_matches(pages, held, 10, 3).collect()), key=str)
+    assert got == sorted(((k, n, "phrase", 0, 2) for k in (1, 1, None) for n in ("A", None)), key=str)
+    assert leaks.find_matches(pages.limit(0), held).count() == 0 and leaks.find_matches(pages, held.limit(0)).count() == 0
+
+
+def test_items_that_share_windows(spark):
+    long = "one two three four five six seven eight nine ten eleven twelve"
+    items = [("A", long), ("B", f"zero {long}"), ("C", f"{long} thirteen"), ("D", long)]
+    _check(spark, [(1, f"x {long} y"), (2, f"zero {long} thirteen"), (3, long.replace("six", "6")), (4, f"{long} {long}")], items, 5)
 
 
 def brute_near(pages, items, size, slop):
@@ -116,6 +130,13 @@ def test_rows_with_leaks_go(spark):
     assert sorted(map(str, leaks.without_leaks(docs, "text", items).collect())) == sorted(map(str, docs.where("NOT doc_id <=> 1").collect()))
 
 
+def test_no_leaks_in_empty_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "big red fox", "x"), (1, "big red fox", "x"), (2, "clean", "x"), (2, "clean", "x")], "doc_id long, text string, t2 string")
+    items = spark.createDataFrame([("A", "big red fox")], "wiki_page string, page_text string")
+    assert [tuple(r) for r in leaks.without_leaks(docs, "text", items).collect()] == [(2, "clean", "x")] * 2
+    assert leaks.without_leaks(docs, "text", items.limit(0)).count() == 4 and leaks.without_leaks(docs.limit(0), "text", items).count() == 0
+
+
 def test_query_matches_sql(spark, sf_dir):
     name = "op8_decontamination"
     assert differences(QUERIES[name](spark, sf_dir).toPandas(), CHECKS[name], sf_dir) is None
