@@ -32,9 +32,10 @@ def components(edges: DataFrame) -> DataFrame:
     NULL end are ignored. Each round is checkpointed to the shared folder; the number of rounds grows with the
     logarithm of the longest path. Only a count and a checksum reach the driver.
     """
-    whole = edges.where("u IS NOT NULL AND v IS NOT NULL").select(F.col("u").cast("bigint"), F.col("v").cast("bigint"))
+    # Stored first: nodes and stars both start from the edges, which may be dear to find.
+    whole = materialise(edges.where("u IS NOT NULL AND v IS NOT NULL").select(F.col("u").cast("bigint"), F.col("v").cast("bigint")).distinct())
     nodes = whole.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    stars = materialise(whole.where("u <> v").distinct())
+    stars = whole.where("u <> v")
     before = None
     while True:
         stars = materialise(_small_star(_large_star(stars)).where("u <> v").distinct())
