@@ -65,15 +65,16 @@ def probes(pages: DataFrame, windows: DataFrame, count: int) -> DataFrame:
 
 
 def postings(pages: DataFrame, marks: DataFrame) -> DataFrame:
-    """Index of the probe terms: (t1, t2, iid, place, diagonal), each once per text. ``diagonal`` is the position in the text less
-    ``place``, so all words of a copied stretch lie on one diagonal.
+    """Index of the probe terms: (row, t1, t2, iid, place, diagonal, lone). ``diagonal`` is the position in the text less ``place``,
+    so all words of a copied stretch lie on one diagonal. ``row`` tells copies of a text apart, so none is a hot group.
 
     Windows that overlap share their probes, so a word of a text is posted once per item and place, not once per window.
     ``marks``: (term, iid, place, lone). The mark table joins by broadcast if it is small enough and by a shuffle otherwise.
     """
-    w = pages.select(*_ident(F.col("page_text")), F.posexplode(words(F.col("page_text"))).alias("pos", "term"))
+    numbered = pages.select(F.monotonically_increasing_id().alias("row"), *_ident(F.col("page_text")), words(F.col("page_text")).alias("w"))
+    w = numbered.select("row", "t1", "t2", F.posexplode("w").alias("pos", "term"))
     found = w.join(sized_broadcast(marks, PROBE_ROWS), "term")
-    return found.select("t1", "t2", "iid", "place", (F.col("pos") - F.col("place")).alias("diagonal"), "lone").distinct()
+    return found.select("row", "t1", "t2", "iid", "place", (F.col("pos") - F.col("place")).alias("diagonal"), "lone")
 
 
 def _candidates(pages: DataFrame, windows: DataFrame, size: int, slop: int) -> DataFrame:
@@ -84,9 +85,9 @@ def _candidates(pages: DataFrame, windows: DataFrame, size: int, slop: int) -> D
     """
     probe = stored(probes(pages, windows, size // MISSING_OF + 2))
     marks = stored(probe.groupBy("term", "iid", "place").agg(F.max(F.col("len") == 1).alias("lone")))
-    around = W.partitionBy("t1", "t2", "iid").orderBy("diagonal").rangeBetween(-slop, slop)
+    around = W.partitionBy("row", "iid").orderBy("diagonal").rangeBetween(-slop, slop)
     near = postings(pages, marks).withColumns({"low": F.min("place").over(around), "high": F.max("place").over(around)})
-    near = near.where("low < high OR lone").select("t1", "t2", "iid", "place", "diagonal")
+    near = near.where("low < high OR lone").select("t1", "t2", "iid", "place", "diagonal").distinct()
     starts = near.join(sized_broadcast(probe.drop("term"), PROBE_ROWS), ["iid", "place"]).select(
         "wid", "t1", "t2", "rank", "len", (F.col("diagonal") + F.col("at")).alias("start")
     )
