@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 from math import log, log10
 from zlib import crc32
 
@@ -33,6 +34,9 @@ ROUNDS = 4
 # Tokens that texts are read in at once, tokens of a piece in training, and words counted before they are handed on.
 GROUP = 1 << 20
 PIECE = 1_024
+# Lanes and tokens of a window when whole texts are scored: fewer lanes, so that the longest text ends with the others.
+LANES = 128
+WINDOW = 64
 HELD = 500_000
 FAN_IN = 5
 _PAGE = "uid long, tournament_id long, learn boolean, n_tokens long, n_known long, base double, rest double"
@@ -126,7 +130,7 @@ def _numbered(pages: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             ids, ends, sums, outside, times = [], [0], [], [], []
             for text in texts.to_pylist():
                 words = tokens(text)
-                at = np.fromiter((number.get(w, -1) for w in words), np.int64, len(words))
+                at = np.fromiter(map(number.get, words, repeat(-1)), np.int64, len(words))
                 unknown = at < 0
                 own = np.where(unknown, 0, numbers[at] if len(numbers) else 0).astype(np.int32)
                 missing = [words[i] for i in np.flatnonzero(unknown).tolist()]
@@ -153,8 +157,8 @@ def _numbered(pages: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return pages.mapInArrow(numbered, f"{_PAGE}, ids array<int>, outside array<binary>, times array<int>")
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
-    """Batches with at least GROUP tokens together: (table, tokens of all texts, their sizes). ``ids`` is the last column."""
+def _groups(batches: Iterator[pa.RecordBatch], size: int = GROUP) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Batches with at least ``size`` tokens together: (table, tokens of all texts, their sizes). ``ids`` is the last column."""
     held, count = [], 0
 
     def taken():
@@ -168,7 +172,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.nd
         if batch.num_rows:
             held.append(batch)
             count += len(batch.columns[-1].flatten())
-            if count >= GROUP:
+            if count >= size:
                 yield taken()
                 held, count = [], 0
     if held:
@@ -248,8 +252,8 @@ def page_fluency(pages: DataFrame, learn: Column) -> DataFrame:
         model = spark.sparkContext.broadcast(train(numbered.where("learn"), R.fresh(vocabulary.shortlist, vocabulary.classes)))
 
         def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for table, tokens_, sizes in _groups(batches):
-                logp = R.read(model.value, tokens_, sizes) / log(10)
+            for table, tokens_, sizes in _groups(batches, 2 * GROUP):
+                logp = R.read(model.value, tokens_, sizes, width=LANES, time=WINDOW) / log(10)
                 yield from table.drop_columns("ids").append_column("logp", pa.array(logp)).combine_chunks().to_batches()
 
         scores = stored(numbered.select("uid", "tournament_id", "learn", "n_tokens", "n_known", "base", "rest", "ids").mapInArrow(scored, f"{_PAGE}, logp double"))

@@ -167,11 +167,13 @@ def window(p: Parameters, x: np.ndarray, y: np.ndarray, keep: np.ndarray, h: np.
     return h, out.reshape(time, width)
 
 
-def read(p: Parameters, tokens: np.ndarray, sizes: np.ndarray, steps: Parameters | None = None, piece: int | None = None) -> np.ndarray:
+def read(p: Parameters, tokens: np.ndarray, sizes: np.ndarray, steps: Parameters | None = None, piece: int | None = None,
+         width: int = LANES, time: int = WINDOW) -> np.ndarray:
     """Natural logarithm of the probability of each text. ``tokens``: texts one after another, each with its END;
     texts lie side by side in lanes, and the state goes on from window to window to the end of each.
 
-    With ``piece``, texts are read in pieces of that many tokens, each from a new state, and each piece has a result.
+    With ``piece``, texts are read in pieces of that many tokens, each from a new state, and each piece has a result. ``width``
+    lanes and windows of ``time`` tokens change speed and, with ``steps``, how far gradients go back, but no probability.
     """
     if piece:
         count = -(-sizes // piece)
@@ -181,20 +183,20 @@ def read(p: Parameters, tokens: np.ndarray, sizes: np.ndarray, steps: Parameters
         sizes[last] = ends
     if not len(sizes):
         return np.zeros(0)
-    lane, at = lanes(sizes)
+    lane, at = lanes(sizes, width)
     long, start = int((at + sizes).max()), np.cumsum(sizes) - sizes
     own = np.repeat(np.arange(len(sizes)), sizes)
     place, across = np.arange(len(tokens)) - start[own] + at[own], lane[own]
-    x, y = np.full((long, LANES), END, np.int32), np.full((long, LANES), -1, np.int32)
+    x, y = np.full((long, width), END, np.int32), np.full((long, width), -1, np.int32)
     x[place[1:], across[1:]] = tokens[:-1]
     y[place, across] = tokens
     x[place[0], across[0]] = END
-    keep = np.ones((long, LANES, 1), bool)
+    keep = np.ones((long, width, 1), bool)
     keep[at, lane] = False
-    length = np.bincount(lane, sizes, LANES).astype(int)
-    logp = np.zeros((long, LANES), np.float32)
-    h = np.zeros((LANES, STATE), np.float32)
-    for t in range(0, long, WINDOW):
-        part = slice(t, t + WINDOW), slice(0, int((length > t).sum()))
+    length = np.bincount(lane, sizes, width).astype(int)
+    logp = np.zeros((long, width), np.float32)
+    h = np.zeros((width, STATE), np.float32)
+    for t in range(0, long, time):
+        part = slice(t, t + time), slice(0, int((length > t).sum()))
         h, logp[part] = window(p, x[part], y[part], keep[part], h[part[1]], steps)
     return np.add.reduceat(logp[place, across].astype(float), start)
