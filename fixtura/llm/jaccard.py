@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fixtura.llm.components import components
-from fixtura.llm.store import small_batches, stored
+from fixtura.llm.store import discard, small_batches, stored
 from fixtura.llm.text import code_points, mix64, pieces, words
 from fixtura.runtime import sized_broadcast
 
@@ -95,9 +95,10 @@ def _may_miss(n: Column, percent: int) -> Column:
     return n - F.ceil(n * percent / 100)
 
 
-def _reachable(classes: DataFrame, percent: int) -> DataFrame:
-    """Classes but those with more lone grams than a partner may lack."""
-    grams = classes.select((F.col("cid") * 2).alias("code"), "tested", F.posexplode("grams").alias("pos", "gram")).select(
+def _reachable(classes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Classes but those with more lone grams than a partner may lack. Grams are taken from the row that a class is named after."""
+    heads = rows.select(F.col("uid").alias("cid"), "tested", "grams").join(sized_broadcast(classes.select("cid"), READ_AGAIN), "cid")
+    grams = heads.select((F.col("cid") * 2).alias("code"), "tested", F.posexplode("grams").alias("pos", "gram")).select(
         "gram", (F.col("code") + (F.col("pos") < F.col("tested")).cast("long")).alias("code")
     )
     once = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.min("code").alias("code")).where("c = 1 AND code % 2 = 1")
@@ -240,16 +241,18 @@ def _copies(pages: DataFrame, size: int, percent: int) -> DataFrame:
     small_batches(pages.sparkSession)
     describe = _described(size, percent, whole=False)
     text = F.col("page_text")
-    rows = stored(
-        pages.select(F.col("tournament_id").alias("key"), *_ident(text), describe(F.coalesce(text, F.lit(""))).alias("d")).select("key", "t1", "t2", "d.*")
+    described = pages.select(
+        F.monotonically_increasing_id().alias("uid"), F.col("tournament_id").alias("key"), *_ident(text), describe(F.coalesce(text, F.lit(""))).alias("d")
     )
+    whole = stored(described.select("uid", "key", "t1", "t2", "d.*"))
     sig = ["n", "s1", "s2"]
+    rows = stored(whole.select("uid", "key", "t1", "t2", *sig))
+    # A class is named after one of its rows, so grams are written once and moved only gram by gram.
     classes = stored(
-        rows.where("n > 0 AND key IS NOT NULL").groupBy(*sig)
-        .agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"), F.first("tested").alias("tested"), F.first("grams").alias("grams"))
-        .withColumn("cid", F.monotonically_increasing_id())
+        rows.where("n > 0 AND key IS NOT NULL").groupBy(*sig).agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"), F.min("uid").alias("cid"))
     )
-    close = stored(_reachable(classes, percent))
+    close = stored(_reachable(classes, whole, percent))
+    discard(whole)
     again = pages.select(F.col("tournament_id").alias("key"), "page_text").join(sized_broadcast(close.select("key").distinct(), READ_AGAIN), "key")
     full = again.select(_described(size, percent, whole=True)(F.coalesce("page_text", F.lit(""))).alias("d")).select("d.*")
     sets = stored(full.drop("tested").join(close.drop("key"), sig).groupBy("cid", "n", "copies").agg(F.first("grams").alias("grams")))
