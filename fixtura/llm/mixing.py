@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fixtura.runtime import sized_broadcast
+
 # A Poisson draw is the sum of independent draws with means of at most this, so no table of
 # cumulative probabilities is longer than STEPS however large a rate is.
 PART = 16.0
@@ -66,23 +68,23 @@ def repetitions(key: Column, rate: Column, table: Column, rest: Column, seed: in
 
 def replicate(records: DataFrame, key: str, source: str, targets: DataFrame, seed: int, rows: int | None = None,
               copy: str | None = "copy") -> DataFrame:
-    """Every record of ``records`` repeated by its Poisson count, in a global order drawn by hash.
+    """Every record of ``records`` repeated by its Poisson count, in an order drawn by hash.
 
-    Rates come from ``rates``; they are one row per source and join without moving a record. The draw depends on the
+    Rates come from ``rates``, one row per source; while they are few enough to be broadcast no record moves to meet them. The draw depends on the
     seed, the key and nothing else, so a retried task repeats it. ``copy`` numbers repetitions from 1; it replaces a column
-    of that name, and None leaves it out. Rows come out range-partitioned and sorted by a hash of (key, copy): a shuffle on
-    a uniform key, whatever source is hot. Repeated rows draw alike; a NULL key counts as empty text.
+    of that name, and None leaves it out. Rows are dealt to partitions by a hash of (key, copy) and sorted by it
+    there: one shuffle on a uniform key, whatever source is hot. Repeated rows draw alike; a NULL key counts as empty text.
     """
     means = rates(records.select(F.col(f"`{source}`").alias("source")), targets, rows).where("rate > 0").select(
         "source", "rate", cumulative(F.lit(PART)).alias("table"), cumulative(F.col("rate") - F.floor(F.col("rate") / PART) * PART).alias("rest")
     )
     # The record travels as one column, so no name of its own can clash.
     record = records.select(F.col(f"`{key}`").alias("k"), F.col(f"`{source}`").alias("s"), F.struct(*[F.col(f"`{c}`") for c in records.columns]).alias("record"))
-    drawn = record.join(means, F.col("s").eqNullSafe(F.col("source"))).withColumn(
+    drawn = record.join(sized_broadcast(means), F.col("s").eqNullSafe(F.col("source"))).withColumn(
         "n", repetitions(F.col("k"), F.col("rate"), F.col("table"), F.col("rest"), seed)
     ).where("n > 0")
     copies = drawn.select("k", "record", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
-    mixed = copies.withColumn("order", F.xxhash64(F.lit(seed), F.col("k").cast("string"), "i")).orderBy("order")
+    mixed = copies.withColumn("order", F.xxhash64(F.lit(seed), F.col("k").cast("string"), "i")).repartition("order").sortWithinPartitions("order")
     own = [F.col(f"record.`{c}`") for c in records.columns if c != copy]
     return mixed.select(*own, *([F.col("i").alias(copy)] if copy else []))
 
