@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from fixtura.functions.labels import form_favourite
 from fixtura.functions.weights import training_weight
-from fixtura.operators import metrics
+from fixtura.operators import metrics, softmax
 from fixtura.operators.bootstrap import mean_interval, paired_differences, row_hash
 from fixtura.operators.guards import misaligned
-from fixtura.plans.models import Model
+from fixtura.plans.models import Model, softmax_rows, softmax_scores
 from fixtura.runtime import materialise
 
 BACKTEST_START_YEAR = 2016
@@ -184,11 +184,21 @@ def comparison(
     )
 
 
-def ablation(
-    matrix: DataFrame, model_for: Callable[[Sequence[str]], Model], feature_sets: Mapping[str, Sequence[str]]
-) -> dict[str, DataFrame]:
-    """Annual walk-forward per feature set on the same quoted contests."""
-    return {name: annual_walk_forward(matrix, model_for(columns)) for name, columns in feature_sets.items()}
+def ablation(matrix: DataFrame, feature_sets: Mapping[str, Sequence[str]], ridge: float = softmax.RIDGE) -> dict[str, DataFrame]:
+    """Annual walk-forward of the softmax classifier per feature set on the same quoted contests.
+
+    All folds and all sets are fitted in the same passes over one copy of the rows, and scored by one plan per set.
+    """
+    folds = annual_folds(matrix)
+    features = list(dict.fromkeys(f for columns in feature_sets.values() for f in columns))
+    at = {f: i for i, f in enumerate(features)}
+    jobs = {
+        f"{name}|{fold.name}": (fold.name, sorted([at[f] for f in columns] + [at[f] + len(features) for f in columns]))
+        for name, columns in feature_sets.items() for fold in folds
+    }
+    fit = softmax.fit_softmax(softmax_rows(learning_rows(matrix, folds), features), jobs, ridge)
+    rows = scoring_rows(metrics.covered(matrix), folds, False)
+    return {name: softmax_scores(rows, fit, features, F.concat(F.lit(f"{name}|"), F.col("fold"))) for name in feature_sets}
 
 
 def changed_rows(left: DataFrame, right: DataFrame, key: Sequence[str], tolerance: float = 1e-8) -> DataFrame:

@@ -152,7 +152,7 @@ def test_softmax_and_boosted_models_score_every_row(spark, small_matrix):
     folds = [backtest.Fold("a", dt.date(2014, 1, 1), dt.date(2015, 1, 1)), backtest.Fold("b", dt.date(2015, 1, 1), dt.date(2016, 1, 1))]
     features = ["home_form", "away_form", "rating_gap", "neutral"]
     n = small_matrix.filter("match_date >= '2014-01-01' and match_date < '2016-01-01'").count()
-    for model in (models.SoftmaxModel(features, max_iter=5), models.BoostedModel(features, {"max_trees": 2, "max_depth": 2})):
+    for model in (models.SoftmaxModel(features), models.BoostedModel(features, {"max_trees": 2, "max_depth": 2})):
         got = scored(small_matrix, model, folds, by_edition=False)
         assert len(got) == n and all(sum(v[1:4]) == pytest.approx(1.0) for v in got.values())
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fixtura import adapters as A
 from fixtura.functions import labels, names, prices, weights
-from fixtura.operators import bootstrap, clean, form, goals, guards, linkage, market, metrics, ordered, squads, star
+from fixtura.operators import bootstrap, clean, form, goals, guards, linkage, market, metrics, ordered, softmax, squads, star
 from fixtura.plans import backtest, matrix, models, reads, tuning
 from fixtura.runtime import materialise, stored_once
 from fixtura.sources import pages, quotes as quote_files
@@ -1065,7 +1065,7 @@ def _(s, d):
 
 @query("feature_ablation")
 def _(s, d):
-    scored = backtest.ablation(_numbered_matrix(s, d), lambda columns: models.SoftmaxModel(list(columns)), matrix.FEATURE_SETS)
+    scored = backtest.ablation(_numbered_matrix(s, d), matrix.FEATURE_SETS)
     scored = {name: materialise(df) for name, df in scored.items()}
     pairs = [("base+squad", "base"), ("base+rating", "base"), ("full", "base"), ("full", "base+squad")]
     return tidy(backtest.comparison(scored, ["row_no"], pairs, BOOT))
@@ -1079,6 +1079,32 @@ def _(s, d):
     return tidy(_summary(scored, ["fold"]))
 
 
+SOFTMAX_FOLDS = backtest.rolling_folds(1996, 2002, 2)
+# Columns of the classifier in order: intercept, features (0 where missing), missing flags.
+SOFTMAX_TERMS = {"intercept": "1.0"} | {f: f"coalesce(CAST({f} AS DOUBLE), 0)" for f in matrix.BASE_FEATURES} | {
+    f"no {f}": f"CASE WHEN {f} IS NULL THEN 1.0 ELSE 0.0 END" for f in matrix.BASE_FEATURES
+}
+
+
+@query(
+    "softmax_score_equations",
+    sql(
+        "SELECT fold, result AS class, unnest(" + str(list(SOFTMAX_TERMS)) + ") AS term, round(unnest([" + ", ".join(f"sum(w * {x})" for x in SOFTMAX_TERMS.values())
+        + "]), 2) + 0.0 AS value FROM (SELECT fold, m.*, greatest(pow(0.5, (start - match_date) / 3650.0), 0.05) * importance AS w FROM (" + MATRIX + ") m, (VALUES "
+        + ", ".join(f"('{f.name}', DATE '{f.start}')" for f in SOFTMAX_FOLDS) + ") v(fold, start) WHERE match_date < start - 365 AND result IS NOT NULL) GROUP BY fold, result",
+        *MATRIX_VIEWS, **SHORT,
+    ),
+)
+def _(s, d):
+    rows = models.softmax_rows(backtest.learning_rows(_stored_matrix(s, d), SOFTMAX_FOLDS), matrix.BASE_FEATURES)
+    jobs = {f.name: (f.name, range(2 * len(matrix.BASE_FEATURES))) for f in SOFTMAX_FOLDS}
+    sums = softmax.score_equations(rows, softmax.fit_softmax(rows, jobs), jobs)
+    names = F.array(*[F.lit(t) for t in SOFTMAX_TERMS])
+    return tidy(
+        sums.select(F.col("key").alias("fold"), F.substring(F.lit("HDA"), F.col("class_no") + 1, F.lit(1)).alias("class"), names[F.col("column_no")].alias("term"), "value"), 2
+    )
+
+
 @query("boosted_scores")
 def _(s, d):
     table = _stored_matrix(s, d)
