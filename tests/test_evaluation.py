@@ -239,6 +239,30 @@ def test_objective_and_search(spark, small_matrix):
     assert tuning.proposal(log).first()["log_loss"] == min(r["log_loss"] for r in rows)
 
 
+def test_classifier_weighting_search_halves_and_stays_before_the_wall(spark, small_matrix):
+    folds, features = backtest.rolling_folds(2013, 2017, 1), ["importance", "home_form", "away_form"]
+    log = tuning.search_classifier_weighting(small_matrix, FOOTBALL_TIERS, 5, folds, features).orderBy("trial_id").collect()
+    assert [r["trial_id"] for r in log] == list(range(6)) and tuning.rungs(4) == [1, 2, 4]
+    assert sorted(r["rung"] for r in log)[:2] == [1, 1] and log[0]["rung"] == 3 and max(r["last_scored"] for r in log) < dt.date(2017, 1, 1)
+    # A trial is worth what a walk-forward of its own gives.
+    for row in log:
+        trial = tuning.candidates(spark, 5, hyper=False).filter(F.col("trial_id") == row["trial_id"]).first().asDict()
+        remapped, rule = tuning.with_candidate_weighting(small_matrix, FOOTBALL_TIERS, trial)
+        if row["rung"] == 3:
+            one = tuning.objective(remapped, models.SoftmaxModel(features), folds[: row["n_folds"]], rule).first()
+            assert row["log_loss"] == pytest.approx(one["log_loss"], abs=1e-5) and row["n"] == one["n"]
+    best = tuning.weighting_proposal(tuning.search_classifier_weighting(small_matrix, FOOTBALL_TIERS, 5, folds, features)).first()
+    assert best["log_loss"] == min(r["log_loss"] for r in log if r["n_folds"] == 4)
+
+
+def test_weighting_verdict_pairs_baseline_and_proposal(spark, small_matrix):
+    trial = tuning.candidates(spark, 1, hyper=False).filter("trial_id = 0").first().asDict()
+    held_out = backtest.rolling_folds(2015, 2017, 1)
+    n = small_matrix.filter("match_date >= '2015-01-01' AND match_date < '2017-01-01'").count()
+    same = tuning.weighting_verdict(small_matrix, FOOTBALL_TIERS, trial, held_out, lambda: models.SoftmaxModel(["importance", "home_form"]), ["k"], 50).first()
+    assert same["n"] == n and same["verdict"] == "within noise" and same["point"] == pytest.approx(0, abs=1e-9)
+
+
 def test_held_out_verdict(spark):
     rows, df = forecasts(spark, 200)
     worse = df.select("k", "result", *[F.lit(1 / 3).alias(p) for p in ("ph", "pd", "pa")])

@@ -1117,6 +1117,29 @@ def _(s, d):
     return tidy(tuning.search_goal_weighting(A.contests(s, d), A.TIERS, 8, backtest.rolling_folds(1998, 2002, 2)))
 
 
+# Rolling folds of the search end where the held-out ones begin.
+SEARCH_FOLDS, HELD_OUT_FOLDS = backtest.rolling_folds(1996, 2000, 1), backtest.rolling_folds(2000, 2002, 1)
+
+
+def _weighting_search(s, d) -> tuple[DataFrame, DataFrame]:
+    table = _numbered_matrix(s, d)
+    return table, materialise(tuning.search_classifier_weighting(table, A.TIERS, 200, SEARCH_FOLDS, matrix.BASE_FEATURES))
+
+
+@query("weighting_search")
+def _(s, d):
+    return tidy(_weighting_search(s, d)[1])
+
+
+@query("weighting_verdict")
+def _(s, d):
+    table, log = _weighting_search(s, d)
+    best = tuning.weighting_proposal(log).first()["trial_id"]
+    trial = tuning.candidates(s, 200, hyper=False).filter(F.col("trial_id") == best).first().asDict()
+    found = tuning.weighting_verdict(table, A.TIERS, trial, HELD_OUT_FOLDS, lambda: models.SoftmaxModel(list(matrix.BASE_FEATURES)), ["row_no"], BOOT)
+    return tidy(found.withColumn("trial_id", F.lit(best)))
+
+
 @query(
     "trial_ranking",
     sql(
