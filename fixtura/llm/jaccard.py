@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fixtura.llm.components import components
-from fixtura.llm.store import discard, small_batches, stored
+from fixtura.llm.store import discard, let_go, small_batches, stored
 from fixtura.llm.text import code_points, mix64, pieces, words
 from fixtura.runtime import sized_broadcast
 
@@ -26,8 +26,9 @@ SHARED = 3
 COMMON = 32
 BLOCK = 512
 COLUMNS = 4_096
-# Keys of the pages that are read again are broadcast up to this many (8 bytes each).
+# Keys of the pages that are read again and common grams are broadcast up to this many (8 bytes each), family rows up to IN_FAMILY.
 READ_AGAIN = 1_000_000
+IN_FAMILY = 250_000
 _FULL = 2.0**64
 
 
@@ -115,14 +116,17 @@ def _families(sets: DataFrame, percent: int) -> DataFrame:
     only sets made of such grams. Pairs meet on rarer grams; a common leading gram ties its sets together as a star.
     """
     grams = sets.select("cid", F.explode("grams").alias("gram"))
-    common = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > COMMON).select("gram")
-    held = grams.join(common, "gram").groupBy("cid").agg(F.array_sort(F.collect_list("gram")).alias("common"))
+    # Stored and counted before the join, so that not all grams are moved a second time to meet the few common ones.
+    common = stored(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > COMMON).select("gram"))
+    let_go(sets.sparkSession)
+    held = grams.join(sized_broadcast(common, READ_AGAIN), "gram").groupBy("cid").agg(F.array_sort(F.collect_list("gram")).alias("common"))
     size = F.least(F.col("n"), _may_miss(F.col("n"), percent) + SHARED).cast("int")
     none = F.array().cast("array<bigint>")
     lead = sets.join(held, "cid", "left").withColumn("common", F.coalesce("common", none)).withColumn(
         "rare", F.slice(F.array_except("grams", "common"), 1, size)
     )
     lead = stored(lead.select("cid", "n", "rare", F.slice("common", 1, F.greatest(F.lit(0), size - F.size("rare"))).alias("common")))
+    let_go(sets.sparkSession)
     post = lead.select("cid", "n", F.explode("rare").alias("gram"))
     a, b = post.alias("a"), post.alias("b")
     close = (F.col("a.cid") < F.col("b.cid")) & (F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent)
@@ -182,11 +186,12 @@ def _product(sets: DataFrame, families: DataFrame, percent: int) -> DataFrame:
     """(u, v, links) over all families. A family of more than BLOCK sets is dealt into blocks, and every two of them meet
     in a task of their own; small families share tasks. A task holds about two blocks, whatever the family."""
     sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    part = families.join(sizes, "family").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn(
+    part = stored(families.join(sizes, "family").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn(
         "block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-    )
+    ))
+    let_go(sets.sparkSession)
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("block", x).alias("i"), F.greatest("block", x).alias("j")))
-    dealt = sets.join(part, "cid").withColumn("pair", F.explode(pairs)).select("cid", "n", "copies", "grams", "family", "block", "pair.*", "blocks")
+    dealt = sets.join(sized_broadcast(part, IN_FAMILY), "cid").withColumn("pair", F.explode(pairs)).select("cid", "n", "copies", "grams", "family", "block", "pair.*", "blocks")
     # Small families hash into as many groups as leave about BLOCK sets in each.
     groups = max(1, part.where("blocks = 1").count() // BLOCK)
     where = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("family"), F.lit(groups))).otherwise(F.col("family"))
@@ -253,10 +258,13 @@ def _copies(pages: DataFrame, size: int, percent: int) -> DataFrame:
     )
     close = stored(_reachable(classes, whole, percent))
     discard(whole)
+    let_go(pages.sparkSession)
     again = pages.select(F.col("tournament_id").alias("key"), "page_text").join(sized_broadcast(close.select("key").distinct(), READ_AGAIN), "key")
     full = again.select(_described(size, percent, whole=True)(F.coalesce("page_text", F.lit(""))).alias("d")).select("d.*")
     sets = stored(full.drop("tested").join(close.drop("key"), sig).groupBy("cid", "n", "copies").agg(F.first("grams").alias("grams")))
+    let_go(pages.sparkSession)
     found = stored(_product(sets, _families(sets, percent), percent))
+    discard(sets)
     degree = found.groupBy(F.col("u").alias("cid")).agg(F.sum("links").alias("links"))
     keys = classes.select("cid", *sig, "key", "copies")
     tied = components(found.select("u", "v")).select(F.col("node").alias("cid"), F.col("component").alias("root")).join(keys.select("cid", "key"), "cid")

@@ -49,3 +49,9 @@ def discard(df: DataFrame) -> None:
     spark = df.sparkSession
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def let_go(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of finished jobs now. It does so only when the driver collects garbage, which
+    a driver that holds little may not do before the executors' disks are full."""
+    spark.sparkContext._jvm.System.gc()
