@@ -11,26 +11,29 @@ from pyspark.sql import DataFrame, SparkSession
 from fixtura.runtime import ensure_checkpoint_dir
 
 
-# Rows that go to a Python worker at once. Whole texts are long, and a worker keeps the memory of its largest batch.
+# Rows that go to a Python worker at once, and that a scan decodes at once. Whole texts and sets are long, and both keep the
+# memory of their largest batch.
 TEXT_BATCH = 500
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BATCHES = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch to TEXT_BATCH rows if it is larger; called by operators that read texts in Python."""
-    if not 0 < int(spark.conf.get(_BATCH)) <= TEXT_BATCH:
-        spark.conf.set(_BATCH, str(TEXT_BATCH))
+    """Lower the session's Arrow and scan batches to TEXT_BATCH rows if they are larger; called by operators that read texts in Python."""
+    for batch in _BATCHES:
+        if not 0 < int(spark.conf.get(batch)) <= TEXT_BATCH:
+            spark.conf.set(batch, str(TEXT_BATCH))
 
 
 @contextmanager
 def text_batches(spark: SparkSession) -> Iterator[None]:
-    """Within the block Arrow batches have at most TEXT_BATCH rows; for tables written inside it."""
-    before = spark.conf.get(_BATCH)
+    """Within the block Arrow and scan batches have at most TEXT_BATCH rows; for tables written inside it."""
+    before = {batch: spark.conf.get(batch) for batch in _BATCHES}
     small_batches(spark)
     try:
         yield
     finally:
-        spark.conf.set(_BATCH, before)
+        for batch, rows in before.items():
+            spark.conf.set(batch, rows)
 
 
 def stored(df: DataFrame) -> DataFrame:
